@@ -67,10 +67,17 @@ def words(text: Column) -> Column:
     return parts
 
 
+def _local(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A literal relation; nothing is sent through Python workers."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    literal = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for r in rows)).cast(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in schema.split(', '))}>>")
+    return spark.range(1).select(F.inline(literal))
+
+
 def _places(spark, templates: list[Template]) -> DataFrame:
     """(gram, template, place), with _MARK for template -1."""
     rows = [(t, i, *w[i : i + K]) for t, w in enumerate(template_words(x.text) for x in templates) for i in range(len(w) - K + 1)]
-    found = spark.createDataFrame(rows, "template int, place int, " + ", ".join(f"w{j} string" for j in range(K)))
+    found = _local(spark, rows, "template int, place int, " + ", ".join(f"w{j} string" for j in range(K)))
     found = found.select(F.xxhash64(*(f"w{j}" for j in range(K))).alias("gram"), "template", "place")
     mark = spark.range(1).select(F.lit(_MARK).cast("long").alias("gram"), F.lit(-1).alias("template"), F.lit(0).alias("place"))
     found = found.union(mark)
@@ -93,7 +100,7 @@ def spans(docs: DataFrame, templates: list[Template]) -> DataFrame:
     votes = votes.select("row", DOC_ID, "n_words", "template", (F.col("at") - 1 - F.col("place")).alias("diagonal"), "place").repartition("row")
     lines = votes.groupBy("row", DOC_ID, "n_words", "template", "diagonal").agg(F.collect_set("place").alias("places"))
     known = [(i, len(w) - K + 1, len(w), t.label, t.base) for i, (t, w) in enumerate((t, template_words(t.text)) for t in templates)]
-    sizes = F.broadcast(docs.sparkSession.createDataFrame(known, "template int, grams int, length int, label string, base boolean"))
+    sizes = F.broadcast(_local(docs.sparkSession, known, "template int, grams int, length int, label string, base boolean"))
     lines = lines.join(sizes, "template", "left")
     # a base phrase stays on its own diagonal, other templates merge neighbours
     order = W.partitionBy("row", "template").orderBy("diagonal")
