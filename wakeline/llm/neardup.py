@@ -7,10 +7,10 @@ not empty, text is one shingle. Sets are compared as sets of 64-bit shingle hash
 2. Two nodes that share a band are candidates. Within a bucket only pairs with its smallest node are made at first, so a
    bucket of n nodes costs n - 1 pairs. Signatures are compared batch by batch; a pair is dropped as soon as the
    posterior probability that its similarity reaches the threshold is below `miss`. Survivors are verified on full sets.
-3. Links join nodes to components. Only buckets that still hold several components are looked at again, and only pairs
-   across components whose shared shingles could suffice: shingles that no other such node has are counted against a
-   pair before it is made. These pairs pass the same pruning and exact verification, so no link between components
-   that the bands can show is left out; pairs inside one component can't change the result.
+3. Links join nodes to components. Buckets that still hold several components are looked at again: small ones give
+   their pairs across components; the nodes of larger ones meet by prefix filtering on their rarest shingles, where
+   both shingles' places bound what a pair can share. These pairs pass the same pruning and exact verification. Pairs
+   inside one component can't change the result and are not made, so a group of n copies costs about n pairs.
 
 The bands find a pair of similarity s with probability 1 - (1 - s**rows)**bands: 1 - 4e-7 at 0.85, 1 - 5e-5 at 0.8.
 
@@ -39,6 +39,8 @@ BATCH = 25
 MISS = 1e-5
 #: Bits of the fixed-size filter that tells which sets are needed again.
 FILTER_BITS = 1 << 25
+#: A bucket of up to so many nodes gives all its pairs across components.
+SMALL_BUCKET = 16
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -200,25 +202,49 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(rows: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and two components whose common shingles could suffice."""
+    """Pairs of two components that some bucket shows.
+
+    A small bucket gives each pair across its components. The nodes of larger ones meet by prefix filtering instead,
+    which is exact for them: their shingles are ordered by how many of these nodes have them, rarest first, and a pair
+    must share one that is early enough in both for the rest to suffice.
+    """
     named = rows.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    named = written(named.join(mixed, "band"), "mixed")
-    nodes = named.select("node").distinct()
-    words = sets.join(nodes, "node", "left_semi").select("node", F.explode(_longs("shingles")).alias("shingle"))
-    shared = words.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select("shingle")
-    core = words.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("core"))
-    named = named.join(sizes.join(nodes, "node", "left_semi").join(core, "node"), "node")
-    x, y = named.alias("x"), named.alias("y")
-    m = F.least("x.core", "y.core")
-    enough = m * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    return x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & fits & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
-def _longs(column: str):
-    """The 8-byte pieces of a binary column, as binary."""
-    return F.expr(f"transform(sequence(1, cast(octet_length({column}) / 8 as int)), i -> substring({column}, 8 * i - 7, 8))")
+    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
+    named = written(named.join(mixed, "band").join(sizes, "node"), "mixed")
+    x, y = (named.where(F.col("size") <= SMALL_BUCKET).select("band", *(F.col(c).alias(c + s) for c in ("node", "component", "n"))) for s in "ab")
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    few = x.join(y, "band").where(F.col("componenta") < F.col("componentb")).where(fits).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    crowd = named.where(F.col("size") > SMALL_BUCKET).select("node", "component", "n").distinct()
+    return few.union(_by_prefix(crowd, sets, percent)).distinct()
+
+
+def _by_prefix(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of crowd's nodes in different components that prefix filtering can't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], names=["node", "shingle"])
+
+    words = sets.join(crowd, "node", "left_semi").select("node", "shingles").mapInArrow(run, "node long, shingle long")
+    shared = words.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = words.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    placed = ranked.join(crowd, "node")
+    # shingles that no other node has come first, so the i-th common one has n - size + i before it
+    probe = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    index = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    placed = placed.select("node", "component", "n", probe.alias("probe"), index.alias("index"), (F.col("n") - F.size("common")).alias("alone"), "common")
+    early = F.slice("common", F.lit(1), F.greatest(F.lit(0), (F.col("probe") + 1 - F.col("alone")).cast("int")))
+    placed = placed.select("node", "component", "n", "index", "alone", F.posexplode(early).alias("i", "x")).select("node", "component", "n", "index", (F.col("alone") + F.col("i")).alias("rank"), F.col("x.shingle").alias("shingle"))
+    several = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    placed = written(placed.join(several, "shingle"), "prefixes")
+    x = placed.select("shingle", *(F.col(c).alias(c + "a") for c in ("node", "component", "n", "rank")))
+    y = placed.where("rank <= index").select("shingle", *(F.col(c).alias(c + "b") for c in ("node", "component", "n", "rank")))
+    larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") > F.col("nodeb")))
+    fits = F.col("nb") * 100 >= F.col("na") * percent
+    enough = F.least(F.col("na") - F.col("ranka"), F.col("nb") - F.col("rankb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return x.join(y, "shingle").where(larger & fits & enough & (F.col("componenta") != F.col("componentb"))).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
