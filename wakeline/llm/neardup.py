@@ -4,8 +4,8 @@ A document's set holds the distinct k-word shingles of its lower-cased (A-Z), wh
 not empty, text is one shingle. Sets are compared as sets of 64-bit shingle hashes.
 
 1. One pass makes each document's set identity (`node`: equal sets are one node), size, MinHash signature and band keys.
-2. Two nodes that share a band are candidates. Within a bucket only pairs with its smallest node are made at first, so a
-   bucket of n nodes costs n - 1 pairs. Signatures are compared batch by batch; a pair is dropped as soon as the
+2. Two nodes that share a band are candidates. Within a bucket only pairs with one centre, the node that meets most others
+   in its buckets, are made at first, so a bucket of n nodes costs n - 1 pairs. Signatures are compared batch by batch; a pair is dropped as soon as the
    posterior probability that its similarity reaches the threshold is below `miss`. Survivors are verified on full sets.
 3. Links join nodes to components. Buckets that still hold several components are looked at again: small ones give
    their pairs across components; the nodes of larger ones meet by prefix filtering on their rarest shingles, where
@@ -252,8 +252,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     rows = written(signatures(docs, k), "signatures")
     full = rows.where("n > 0")
     banded = full.select("node", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("band", "centre")
-    held = written(banded.join(centres, "band").select("band", "node", "centre").distinct(), "buckets")
+    several = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band")
+    buckets = written(banded.join(several, "band").distinct(), "buckets")
+    # the node that meets most others is likely near what a bucket's nodes have in common
+    met = buckets.join(buckets.groupBy("band").agg(F.count("*").alias("size")), "band").groupBy("node").agg(F.sum("size").alias("met"))
+    centres = buckets.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
+    held = written(buckets.join(centres, "band"), "held")
     active = written(held.select("node").distinct(), "active")
     # min() of a struct keeps one row a node; repeated rows of a node are equal
     sigs = written(full.select("node", "n", "signature").join(active, "node", "left_semi").dropDuplicates(["node"]), "candidates")
@@ -262,7 +266,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     def links(pairs: DataFrame) -> DataFrame:
         return written(_linked(_plausible(pairs, sigs, percent, miss), sets, percent), "links")
 
-    first = links(held.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    first = links(held.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
     labels = connected_components(first, "a", "b")
     more = links(_across(held.select("band", "node"), labels, sigs.select("node", "n"), sets, percent))
     if more.head(1):
