@@ -42,8 +42,8 @@ def _segment(length: Column, i: int, m: int) -> tuple[Column, Column]:
     return first, size + F.when(F.lit(i) > F.lit(m) - longer, 1).otherwise(0)
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> tuple[Column, Column]:
-    """Arrays of hashes: those by which a line is indexed, and those by which it probes."""
+def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
+    """Hashes: those by which a line is indexed, and those by which it probes."""
     m = edits + 1
     index = []
     for i in range(1, m + 1):
@@ -55,7 +55,7 @@ def segment_keys(line: Column, length: Column, edits: int) -> tuple[Column, Colu
             first, size = _segment(length - delta, i, m)
             for shift in range(max(1 - i, delta - (m - i)), min(i - 1, delta + (m - i)) + 1):
                 probe.append(F.xxhash64(length - delta, F.lit(i), F.substring(line, first + shift, size)))
-    return F.array(*index), F.array(*probe)
+    return index, probe
 
 
 def _letters(line: Column) -> Column:
@@ -76,16 +76,18 @@ def _apart(a: Column, b: Column) -> Column:
     return total
 
 
-def banded_distance(a: Column, b: Column, edits: int) -> Column:
-    """Edit distance of two strings whose lengths differ by `edits` at most, or more than `edits` if it is larger.
+def banded_distance(x: Column, y: Column, edits: int) -> Column:
+    """Edit distance of two character arrays whose sizes differ by `edits` at most, or more than `edits` if it is larger.
 
-    Bit k of a band word stands for character i - edits + k of a beside character i of b; vertical differences of the
-    band are kept in two words and a step is a few bit operations, whatever the band's width.
+    Bit k of a band word stands for character i - edits + k of x beside character i of y; vertical differences of the
+    band are kept in two words and a step is a few bit operations, whatever the band's width. Once the band's lower
+    edge is out of reach, the other steps do nothing. x and y must be plain columns: an expression would be worked out
+    anew in each step.
     """
     w = 2 * edits + 1
     mask = (1 << w) - 1
-    x, y = F.split(a, ""), F.split(b, "")
     diagonal = F.size(x) - edits
+    limit = 2 * edits + F.size(y) - F.size(x)
 
     def lit(v: int) -> Column:
         return F.lit(v).cast("long")
@@ -123,7 +125,7 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     def run(s: Column, t: Column) -> Column:
         # nested transforms of one-element arrays name each step's results, so nothing is worked out twice
         first = F.transform(F.array(step(s, t)), move)
-        return F.get(F.transform(first, close), F.lit(0))
+        return F.when(s["d"] > limit, s).otherwise(F.get(F.transform(first, close), F.lit(0)))
 
     return F.aggregate(y, start, run, lambda s: s["d"])
 
@@ -139,13 +141,14 @@ def near_pairs(own: DataFrame, docs: DataFrame, edits: int, least: int) -> DataF
     slot = F.pmod(F.col("id"), F.lit(SLOTS)).alias("slot")
     found = lines(docs, least).withColumn("id", F.xxhash64("line"))
     found = found.join(F.broadcast(ids.select(slot).distinct()), F.pmod(found["id"], F.lit(SLOTS)) == F.col("slot"), "left_semi")
-    texts = written(found.groupBy("id").agg(F.min("line").alias("line")).join(ids, "id", "left_semi"), "line-texts")
-    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    texts = written(found.groupBy("id").agg(F.min("line").alias("line")).join(ids, "id", "left_semi").select("id", F.split("line", "").alias("chars")), "line-texts")
+    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("chars").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("chars").alias("y")), "b")
     return pairs.where(banded_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
 
 
-def _first() -> Column:
-    return F.min(F.struct("doc", "at")).alias("first")
+def _place() -> Column:
+    """doc and at in one number, which hash aggregation can take the least of."""
+    return F.col("doc").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("at").cast("decimal(12,0)")
 
 
 def dropped(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -153,15 +156,18 @@ def dropped(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
     found = lines(docs, least)
     length, letters = F.length("line").alias("length"), _letters(F.col("line")).alias("letters")
     index, probe = segment_keys(F.col("line"), F.length("line"), edits)
-    keyed = found.select(F.xxhash64("line").alias("id"), "doc", "at", length, letters, index.alias("index"), probe.alias("probe"))
-    own = written(keyed.groupBy("id").agg(_first(), F.count("*").alias("n"), F.first("length").alias("length"), F.first("letters").alias("letters"), F.first("index").alias("index"), F.first("probe").alias("probe")), "lines")
+    keys = {f"k{i}": k for i, k in enumerate((*index, *probe))}
+    keyed = found.select(F.xxhash64("line").alias("id"), _place().cast("decimal(38,0)").alias("place"), length, letters, *(k.alias(n) for n, k in keys.items()))
+    # all parts are numbers, so that the lines are aggregated by hash before and after the shuffle
+    own = keyed.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("length", "letters", *keys)))
+    own = written(own.select("id", "first", "n", "length", "letters", F.array(*list(keys)[: len(index)]).alias("index"), F.array(*list(keys)[len(index) :]).alias("probe")), "lines")
     near = near_pairs(own, docs, edits, least)
     labels = connected_components(near, "a", "b").select(F.col("node").alias("id"), "component")
     shared = own.select("id", "n", "first").join(labels, "id", "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", "id"))
     firsts = shared.groupBy("class").agg(F.min("first").alias("first"))
     shared = written(shared.select("id", "class").join(firsts, "class"), "classes")
     places = found.select("doc", "at", F.xxhash64("line").alias("id")).join(shared, "id")
-    return places.where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at"))).select("doc", "at", "class")
+    return places.where(_place() != F.col("first")).select("doc", "at", "class")
 
 
 def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
