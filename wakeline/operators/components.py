@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 MOST_ROUNDS = 60
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     return found.rstrip("/") if found else f"file://{os.path.join(tempfile.gettempdir(), 'wakeline-shared')}"
 
@@ -20,7 +21,7 @@ def _folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Ends lineage by writing df to the folder that spark.checkpoint.dir names."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
