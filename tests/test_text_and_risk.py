@@ -1,0 +1,234 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from wakeline.functions import scores as S
+from wakeline.functions import text as T
+from wakeline.operators import builders as B
+from wakeline.operators import consumers as K
+from wakeline.operators import index as I
+from wakeline.operators import mapping as Mp
+from wakeline.operators import reports as Rp
+from wakeline.operators import risk as R
+from wakeline.schemas import FILES
+from wakeline.sources import trees
+from wakeline.streaming import incremental as Inc
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def brute_strip(s):
+    """A character scanner: literals stay, comments go, line breaks of comments stay."""
+    out, i, n = [], 0, len(s)
+    while i < n:
+        if s.startswith("//", i):
+            while i < n and s[i] != "\n":
+                i += 1
+        elif s.startswith("/*", i):
+            end = s.find("*/", i + 2)
+            end = n if end < 0 else end + 2
+            out.append("\n" * s[i:end].count("\n"))
+            i = end
+        elif s.startswith('@"', i):
+            j = i + 2
+            while j < n and not (s[j] == '"' and s[j + 1 : j + 2] != '"'):
+                j += 2 if s[j] == '"' else 1
+            if j >= n:
+                out.append(s[i])
+                i += 1
+            else:
+                out.append(s[i : j + 1])
+                i = j + 1
+        elif s[i] in "\"'":
+            j = i + 1
+            while j < n and s[j] not in (s[i], "\n"):
+                j += 2 if s[j] == "\\" and s[j + 1 : j + 2] not in ("", "\n") else 1
+            if j < n and s[j] == s[i]:
+                out.append(s[i : j + 1])
+                i = j + 1
+            else:
+                out.append(s[i])
+                i += 1
+        else:
+            out.append(s[i])
+            i += 1
+    return "".join(out)
+
+
+def test_strip_comments(spark):
+    rnd = random.Random(7)
+    parts = ["a", " ", "\n", "//", "/*", "*/", "*", "/", '"', '@"', "x = 1;", "http", "'c'", '"s // no"']
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(400)]
+    texts = [t for t in texts if "\\" not in t]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", T.strip_comments(F.col("t")).alias("x")).collect()}
+    wrong = [(texts[i], got[i], brute_strip(texts[i])) for i in got if got[i] != brute_strip(texts[i])]
+    assert len(wrong) == 0, wrong[:3]
+
+
+@pytest.mark.parametrize(("raw", "want"), [("[Dbo].[GetX]", "dbo.GetX"), (" DBO . GetX", "dbo.GetX"), ("GetX", "GetX"), ("A.B.c", "a.b.c")])
+def test_normalize_procedure(spark, raw, want):
+    assert one(spark, T.normalize_procedure(F.lit(raw))) == want
+
+
+@pytest.mark.parametrize(("path", "want"), [("a/b/../c/./d.x", "a/c/d.x"), ("..\\x\\y.z", "../x/y.z"), ("/a/../../b", "/../b")])
+def test_normalize_path(spark, path, want):
+    assert one(spark, T.normalize_path(F.lit(path))) == want
+
+
+def test_redaction_and_kinds(spark):
+    text = "ok\npassword = hunter2\nx\napi_key: 1"
+    assert one(spark, T.redact(F.lit(text))) == "ok\n[removed: password]\nx\n[removed: api key]"
+    assert one(spark, T.classify_path(F.lit("src/tests/a.cs"))) == "test" and one(spark, T.classify_path(F.lit("src/contest/a.cs"))) == "production"
+    code = "public class Foo<T> { } record Bar; delegate void Done(int x); class Foo {}"
+    assert one(spark, T.declared_types(F.lit(code))) == ["Foo", "Bar", "Done"]
+    assert [tuple(x) for x in one(spark, T.declared_kinds(F.lit(code)))][:2] == [("Foo", "class"), ("Bar", "record")]
+    assert one(spark, T.imported_namespaces(F.lit("using A.B;\nusing static C.D;\n using E;"))) == ["A.B", "E"]
+
+
+def test_scores(spark):
+    lit = F.lit
+    assert one(spark, S.interpolate(lit(7.5), 5, 10, 0.7, 1.0)) == pytest.approx(0.85)
+    assert one(spark, S.interpolate(lit(1), 3, 3, 0.1, 0.9)) == 0.9
+    assert one(spark, S.structural(lit(4), lit(True))) == pytest.approx(0.65)
+    assert one(spark, S.cycle(lit(3))) == pytest.approx(0.6 + 0.4 / 3)
+    assert one(spark, S.database(lit(0.0), lit(True))) == 0.0
+    assert one(spark, S.change_surface(lit(2), lit(0), lit(0), lit(0))) == pytest.approx(0.8)
+    assert [one(spark, S.severity(lit(x))) for x in (0.8, 0.6, 0.3, 0.1)] == ["critical", "high", "medium", "low"]
+
+
+def test_composite_leaves_out_unknown_dimensions(spark):
+    row = dict.fromkeys(S.DIMENSIONS, 0.0) | {"cycle": None, "database": 1.0}
+    dims = spark.range(1).select(F.lit("a").alias("name"), *(F.lit(v).cast("double").alias(k) for k, v in row.items()))
+    out = R.profile(dims).first()
+    assert out.composite == pytest.approx(0.8) and out.level == "RED"
+    tops = [(r.dimension, r.score) for r in R.factors(dims).orderBy("place").collect()]
+    assert tops == [("database", 0.8), ("cycle", 0.5)]
+
+
+def test_resolver_ladder_puts_earlier_probes_first(spark):
+    mapping = spark.createDataFrame([("Shop", "p1"), ("Own.Core", "p2"), ("BILL", "p3")], "key string, value string")
+    probes = spark.createDataFrame([(1, 0, "Shop"), (2, 0, "shop"), (3, 0, "Shop.Tests"), (4, 0, "Shop.Jobs.X"), (5, 0, "none"), (5, 1, "bill.worker"), (6, 0, "nobody"), (7, 0, "Shop.Deep.Er"), (7, 1, "Shop")], "id long, place int, probe string")
+    got = {r.id: (r.strategy, r.value) for r in Mp.resolve(probes, mapping).collect()}
+    assert got == {1: ("exact", "p1"), 2: ("case_insensitive", "p1"), 3: ("suffix_stripped", "p1"), 4: ("prefix", "p1"), 5: ("suffix_stripped_ci", "p3"), 7: ("prefix", "p1")}
+
+
+def test_funnel_and_its_fallback(spark):
+    edges = spark.createDataFrame([("A", "T", "project_reference"), ("B", "T", "project_reference"), ("B.Tests", "T", "project_reference"), ("C", "U", "project_reference")], "source string, target string, edge_type string")
+    files = spark.createDataFrame([("a/1", "A", "using My.Space; new Thing().Run()"), ("b/1", "B", "using My.Space;"), ("c/1", "C", "nothing")], FILES)
+    targets = spark.createDataFrame([("T", "My.Space", "Thing", None), ("U", "Other", None, None)], "target string, namespace string, class_name string, method_name string")
+    rows = K.funnel(edges, files, targets)
+    assert {(r.target, r.consumer, r.n_files) for r in K.relevant(rows, targets).collect()} == {("T", "A", 1), ("U", "C", 0)}
+    counts = [(r.stage, r.consumers) for r in K.funnel_counts(rows).where("target = 'T'").orderBy("place").collect()]
+    assert counts == [("project_reference", 3), ("not_test", 2), ("namespace", 2), ("class", 1), ("method", 1)]
+
+
+def test_type_usage_scope_and_fallback(spark):
+    facts = spark.createDataFrame([("f1", "A", ["Thing"], ["B.Ns"]), ("f2", "A", ["Thing", "Other"], []), ("f3", "A", ["Thing"], ["A.Ns"])], "path string, project string, identifiers array<string>, namespaces array<string>")
+    types = spark.createDataFrame([("Thing", "B"), ("Thing", "C"), ("Other", "D")], "type string, project string")
+    ns = spark.createDataFrame([("B.Ns", "B"), ("A.Ns", "A")], "namespace string, project string")
+    reach = spark.createDataFrame([("A", "C")], "source string, target string")
+    got = {(r.source, r.target, r.weight, tuple(r.evidence)) for r in B.type_edges(facts, types, ns, reach).collect()}
+    assert got == {("A", "B", 1.0, ("f1:Thing",)), ("A", "C", 1.0, ("f2:Thing",))}
+    assert B.type_edges_full(facts, types).count() == 3
+
+
+def test_catalog_keeps_definitions_and_references_apart(spark):
+    d = spark.createDataFrame([("[dbo].[A]", "p"), ("B", "p")], "name string, project string")
+    r = spark.createDataFrame([("DBO.A", "x"), ("dbo.A", "y"), ("C", "x")], "name string, project string")
+    cat = B.procedure_catalog(d, r)
+    assert {(x.procedure, x.status, x.shared) for x in cat.collect()} == {("dbo.A", "defined_and_referenced", True), ("B", "defined_only", False), ("C", "referenced_only", False)}
+    assert B.catalog_summary(cat).first().coverage == 50.0
+
+
+def test_impact_trace_may_come_back_to_its_target(spark):
+    edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("c", "b")], "source string, target string")
+    direct = spark.createDataFrame([("a", "b")], "target string, consumer string")
+    got = {(r.consumer, r.depth, r.parent) for r in R.trace(direct, edges).collect()}
+    assert got == {("b", 0, None), ("a", 1, "b"), ("c", 1, "b")}
+    assert {r.path for r in Rp.tree_paths(R.trace(direct, edges)).collect()} == {"b", "b/a", "b/c"}
+
+
+def test_patch_equals_full_build(spark):
+    rnd = random.Random(9)
+    words = [f"Type{i}" for i in range(12)]
+
+    def text(i):
+        return f"class {words[i % 12]} {{ }} " + " ".join(rnd.choice(words) for _ in range(4))
+
+    files = [(f"p{i % 4}/f{i}", f"p{i % 4}", text(i)) for i in range(24)]
+    old = B.file_facts(spark.createDataFrame(files, FILES))
+    new_files = [(p, q, "class Fresh { Type1 x; }" if i in (3, 8) else t) for i, (p, q, t) in enumerate(files) if i != 5] + [("p9/new", "p9", "class Type99 { Fresh y; Type2 z; }")]
+    changed_paths = {files[3][0], files[8][0], "p9/new"}
+    changed = B.file_facts(spark.createDataFrame([f for f in new_files if f[0] in changed_paths], FILES)).unionByName(old.where(F.col("path") == files[5][0]).withColumn("content_hash", F.lit(None).cast("string")))
+    types = lambda f: f.select(F.explode("types").alias("type"), "project").distinct()
+    patched = Inc.patch_type_edges(B.type_edges_full(old, types(old)), old, changed)
+    full = B.file_facts(spark.createDataFrame(new_files, FILES))
+    assert sorted(map(tuple, patched.collect())) == sorted(map(tuple, B.type_edges_full(full, types(full)).collect()))
+    assert {r.status for r in Inc.classify(old, changed).collect()} == {"declaration", "deleted", "new"}
+
+
+def test_stream_of_facts(spark, tmp_path):
+    schema = "path string, project string, content_hash string, version long"
+    store = str(tmp_path / "facts")
+    spark.createDataFrame([("a", "p", "h1")], "path string, project string, content_hash string").write.parquet(f"{store}/0")
+    at = [0]
+
+    def write(df, number):
+        df.write.mode("overwrite").parquet(f"{store}/{number + 1}")
+        at[0] = number + 1
+
+    spark.createDataFrame([("a", "p", "h2", 1), ("a", "p", "h3", 2), ("b", "q", "h1", 1)], schema).write.parquet(str(tmp_path / "feed"))
+    q = Inc.follow(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "feed")), lambda: spark.read.parquet(f"{store}/{at[0]}"), write, str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert {tuple(r) for r in spark.read.parquet(f"{store}/{at[0]}").collect()} == {("a", "p", "h3"), ("b", "q", "h1")}
+
+
+def test_source_tree(spark, tmp_path):
+    (tmp_path / "src/App/bin").mkdir(parents=True)
+    (tmp_path / "src/Lib").mkdir()
+    (tmp_path / "src/App/App.csproj").write_text('<Project Sdk="Own.Sdk"><PropertyGroup><TargetFramework>net8.0</TargetFramework></PropertyGroup><ItemGroup><ProjectReference Include="..\\Lib\\Lib.csproj" /></ItemGroup></Project>')
+    (tmp_path / "src/Lib/Lib.csproj").write_text('<Project xmlns="urn:x"><PropertyGroup><RootNamespace>Own.Lib</RootNamespace></PropertyGroup></Project>')
+    (tmp_path / "src/App/bin/x.cs").write_text("class No {}")
+    (tmp_path / "src/App/a.cs").write_text('// EXEC\nclass A { string q = "usp_Get"; DbSet<Row> rows; }')
+    (tmp_path / "all.sln").write_text('Microsoft Visual Studio Solution File\nProject("{FAE04EC0-301F-11D3-BF4B-00C04F79EFBC}") = "App", "src\\App\\App.csproj", "{1}"\nProject("{00000000-0000-0000-0000-000000000000}") = "No", "no", "{2}"\n')
+    (tmp_path / "src/App/db.sql").write_text("-- x\n\nCREATE OR ALTER PROCEDURE [Dbo].[GetIt] AS\nselect 1\nGO\nalter proc Two as")
+    (tmp_path / "r.rdl").write_text("<Report xmlns='x'><DataSets><DataSet><CommandText> usp_Get </CommandText></DataSet></DataSets></Report>")
+    (tmp_path / "w.config").write_text('<a type="Own.Lib.Thing, Own.Lib"/>')
+    root = str(tmp_path)
+    assert {r.path.rsplit("/", 1)[1] for r in trees.inventory(spark, root, ("cs", "csproj")).collect()} == {"App.csproj", "Lib.csproj", "a.cs"}
+    projects = {r.name: r for r in trees.scan_projects(trees.read_text(spark, root, "csproj")).collect()}
+    assert projects["App"].project_style == "sdk" and projects["App"].namespace == "App" and projects["Lib"].namespace == "Own.Lib" and projects["Lib"].project_style == "framework"
+    scanned = trees.scan_projects(trees.read_text(spark, root, "csproj"))
+    refs = scanned.select(F.col("name").alias("source"), "directory", F.explode("references").alias("include"))
+    assert [(r.source, r.target) for r in B.reference_edges(refs, scanned).collect()] == [("App", "Lib")]
+    assert [(r.solution, r.project_path.rsplit("/", 1)[1]) for r in trees.scan_solutions(trees.read_text(spark, root, "sln")).collect()] == [("all", "App.csproj")]
+    assert {(r.name, r.line) for r in trees.definitions(trees.read_text(spark, root, "sql")).collect()} == {("dbo.GetIt", 3), ("Two", 6)}
+    assert [r.name for r in trees.report_references(trees.read_text(spark, root, "rdl")).collect()] == ["usp_Get"]
+    assert [r.type_name for r in trees.config_references(trees.read_text(spark, root, "config")).collect()] == ["Own.Lib.Thing"]
+    deps = trees.db_dependencies(trees.read_text(spark, root, "cs").withColumn("project", F.lit("App")))
+    assert {(r.kind, r.object) for r in deps.collect()} == {("sproc", "usp_Get"), ("ef_model", "Row")}
+
+
+def test_mapping_file_and_snapshot(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("AppName,PipelineName\n a , p1\nb,\na,p2\n")
+    assert [tuple(r) for r in trees.read_mapping(spark, str(tmp_path / "m.csv")).collect()] == [("a", "p2")]
+    path = str(tmp_path / "snap")
+    assert trees.load_snapshot(spark, path) is None
+    trees.save_snapshot({"t": spark.range(3)}, path, {"version": 2})
+    assert trees.load_snapshot(spark, path, {"version": 1}) is None
+    assert trees.load_snapshot(spark, path, {"version": 2})["t"].count() == 3
+
+
+def test_index_and_text_reports(spark):
+    assert one(spark, I.cap_longest(F.array(*map(F.lit, ["a", "ccc", "bb", "ddd"])), 2)) == ["ccc", "ddd", "..."]
+    sizes = spark.createDataFrame([(0, 100), (1, 60), (2, 20)], "step long, bytes long")
+    assert tuple(I.fit(sizes, 70).first()) == (1, 60) and tuple(I.fit(sizes, 5).first()) == (2, 20)
+    assert Rp.md_table(["a"], [("x|y",)]).splitlines()[2] == "| x\\|y |"
+    assert Rp.render_tree(["b", "b/a"]) == "b\n    └── a"
+    assert "more" in Rp.risk_comment({"level": "RED", "composite": 0.9}, [("p", "RED", 1)] * 25)
+    assert K.funnel_text([("all", 9), ("left", 2)]) == "9 all → 2 left"
