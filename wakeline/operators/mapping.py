@@ -64,7 +64,7 @@ def group_by_value(rows: DataFrame, name: str, value: str) -> DataFrame:
 def fuzzy(names: DataFrame, known: DataFrame) -> DataFrame:
     """(name, match): the known name that is equal but for case, else the smallest known one that holds it.
 
-    known must be small: it is broadcast after its size is checked.
+    Names shorter than three characters are matched as a whole only.
     """
     same = names.join(known.select(F.lower("known").alias("l"), "known"), F.lower("name") == F.col("l")).groupBy("name").agg(F.min("known").alias("match"))
     rest = names.join(same, "name", "left_anti")

@@ -289,7 +289,7 @@ def validate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Facts of all documents as Latin-lettered files, and changes: German ones are deleted, Spanish ones say more."""
+    """Facts of all documents as files, and changes: German ones are deleted, Spanish ones say more."""
     own = files(spark, sf_dir)
     old = B.file_facts(own)
     lang = F.split("path", "/")[1]
