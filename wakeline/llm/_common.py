@@ -34,21 +34,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: a cut of lineage that survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it again: a cut of lineage that survives lost executors.
+
+    The table has a unique name and stays, since lazy results may read it; see README on removal.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Removes the files of a table made by written()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A string column with 64-bit offsets and nulls made empty."""
     col = batch.column(batch.schema.get_field_index(name))

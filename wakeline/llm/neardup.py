@@ -41,6 +41,10 @@ MISS = 1e-5
 FILTER_BITS = 1 << 25
 #: A bucket of up to so many nodes gives all its pairs across components.
 SMALL_BUCKET = 16
+#: So many shingles before a shared one are compared, so that a pair isn't made again for each that it shares.
+EARLIER = 6
+#: Counters that say which shingles are rare.
+COUNTERS = 1 << 21
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -116,8 +120,8 @@ def _bits(nodes: DataFrame) -> np.ndarray:
     slot = f"pmod(node, {FILTER_BITS})"
     words = nodes.groupBy(F.expr(f"cast({slot} div 32 as int)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} % 32 as int)))").alias("bits"))
     out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words.collect():
-        out[r[0]] = r[1]
+    found = words.toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 
@@ -205,8 +209,8 @@ def _across(rows: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFram
     """Pairs of two components that some bucket shows.
 
     A small bucket gives each pair across its components. The nodes of larger ones meet by prefix filtering instead,
-    which is exact for them: their shingles are ordered by how many of these nodes have them, rarest first, and a pair
-    must share one that is early enough in both for the rest to suffice.
+    which is exact for them: their shingles are ordered, rarest first, and a pair must share one that is early enough in
+    both for the rest to suffice.
     """
     named = rows.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
@@ -218,33 +222,56 @@ def _across(rows: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFram
     return few.union(_by_prefix(crowd, sets, percent)).distinct()
 
 
-def _by_prefix(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of crowd's nodes in different components that prefix filtering can't rule out."""
+def _counts(own: DataFrame) -> np.ndarray:
+    """How often the shingles of each of COUNTERS classes stand in own's sets, gathered as at most COUNTERS rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = np.frombuffer(raw.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], names=["node", "shingle"])
-
-    words = sets.join(crowd, "node", "left_semi").select("node", "shingles").mapInArrow(run, "node long, shingle long")
-    shared = words.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = words.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
-    placed = ranked.join(crowd, "node")
-    # shingles that no other node has come first, so the i-th common one has n - size + i before it
-    probe = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    index = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))
-    placed = placed.select("node", "component", "n", probe.alias("probe"), index.alias("index"), (F.col("n") - F.size("common")).alias("alone"), "common")
-    early = F.slice("common", F.lit(1), F.greatest(F.lit(0), (F.col("probe") + 1 - F.col("alone")).cast("int")))
-    placed = placed.select("node", "component", "n", "index", "alone", F.posexplode(early).alias("i", "x")).select("node", "component", "n", "index", (F.col("alone") + F.col("i")).alias("rank"), F.col("x.shingle").alias("shingle"))
+            raw = b"".join(b.column(0).to_pylist())
+            slots, n = np.unique(np.frombuffer(raw, np.uint64) % np.uint64(COUNTERS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(n)], names=["slot", "n"])
+
+    found = own.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.uint32)
+    out[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), (1 << 32) - 1)
+    return out
+
+
+def _by_prefix(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of crowd's nodes in different components that prefix filtering can't rule out.
+
+    Any one order of the shingles is exact; a fixed number of counters makes it one with the rarest first.
+    """
+
+    own = written(sets.join(crowd, "node").select("node", "component", "n", "shingles"), "crowd")
+    counts = own.sparkSession.sparkContext.broadcast(_counts(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = counts.value
+        for batch in batches:
+            for node, component, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                shingles = np.frombuffer(raw.as_buffer(), np.uint64)
+                often = sketch[shingles % np.uint64(COUNTERS)]
+                order = np.lexsort((shingles, often))[: n - -(-n * percent // 100) + 1]
+                # what only one node has can't be shared, but takes its place in the order
+                rank = np.flatnonzero(often[order] > 1)
+                early = shingles[order[rank]].view(np.int64)
+                before = [early[max(0, i - EARLIER) : i] for i in range(len(early))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(early), v)) for v in (node, component, n)] + [pa.array(rank), pa.array(early), pa.array(before, pa.list_(pa.int64()))],
+                    names=["node", "component", "n", "rank", "shingle", "before"],
+                )
+
+    placed = own.mapInArrow(run, "node long, component long, n long, rank long, shingle long, before array<long>")
+    placed = written(placed, "early").withColumn("index", F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)))
     several = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
     placed = written(placed.join(several, "shingle"), "prefixes")
-    x = placed.select("shingle", *(F.col(c).alias(c + "a") for c in ("node", "component", "n", "rank")))
-    y = placed.where("rank <= index").select("shingle", *(F.col(c).alias(c + "b") for c in ("node", "component", "n", "rank")))
+    x = placed.select("shingle", *(F.col(c).alias(c + "a") for c in ("node", "component", "n", "rank", "before")))
+    y = placed.where("rank <= index").select("shingle", *(F.col(c).alias(c + "b") for c in ("node", "component", "n", "rank", "before")))
     larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") > F.col("nodeb")))
     fits = F.col("nb") * 100 >= F.col("na") * percent
     enough = F.least(F.col("na") - F.col("ranka"), F.col("nb") - F.col("rankb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return x.join(y, "shingle").where(larger & fits & enough & (F.col("componenta") != F.col("componentb"))).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
+    return x.join(y, "shingle").where(larger & fits & enough & (F.col("componenta") != F.col("componentb")) & ~F.arrays_overlap("beforea", "beforeb")).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
