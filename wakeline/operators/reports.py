@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scores as S
 from ..schemas import REFERENCE
+from .components import cut
 
 _NAMES = {"target": "TargetName", "consumer": "ConsumerName", "coupling_score": "CouplingScore", "fan_in": "FanIn", "fan_out": "FanOut", "instability": "Instability"}
 
@@ -85,8 +86,8 @@ def next_steps(direct: Column, transitive: Column) -> Column:
 
 def with_places(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with their 1-based place in a global order: a range-partitioned sort, numbered within partitions, plus the
-    number of rows in the partitions before."""
-    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    number of rows in the partitions before. Ranges are sampled anew in each run, so they are written down once."""
+    own = cut(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
     numbered = own.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
     sizes = own.groupBy("__p").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")

@@ -16,10 +16,15 @@ DAYS = ("investigation", "implementation", "testing", "integration_risk", "datab
 
 def coupling_cut(metrics: DataFrame) -> DataFrame:
     """One row (n, cut): the coupling at the zero-based place int(0.95 n) - 1 of the sorted scores, by an order
-    statistic that sorts distinct scores with their counts and doesn't gather the nodes."""
+    statistic over distinct scores with their counts. Counts are summed by ranges of scores, and running sums are made
+    over ranges and then inside each, so neither nodes nor scores are gathered in one task."""
     counts = metrics.groupBy("coupling").agg(F.count("*").alias("k"))
-    total = metrics.agg(F.count("*").alias("n"))
-    run = counts.crossJoin(F.broadcast(total)).withColumn("upto", F.sum("k").over(W.orderBy("coupling")))  # total is one row
+    own = cut(counts.repartitionByRange("coupling").withColumn("__p", F.spark_partition_id()), "scores")
+    by_range = own.groupBy("__p").agg(F.sum("k").alias("n"))  # as many rows as there are partitions
+    before = by_range.select("__p", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    total = by_range.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    inside = F.sum("k").over(W.partitionBy("__p").orderBy("coupling"))
+    run = own.join(F.broadcast(before), "__p").withColumn("upto", inside + F.col("before")).crossJoin(F.broadcast(total))  # total is one row
     place = F.greatest(F.lit(1), F.floor(F.col("n") * 0.95))
     return run.where(F.col("upto") >= place).groupBy("n").agg(F.min("coupling").alias("cut"))
 
