@@ -2,12 +2,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.llm import chat, decontaminate, licenses, linededup, mixing, neardup, tokens, toxicity
+from wakeline.llm import chat, decontaminate, licenses, linededup, mixing, neardup, queries, tokens, toxicity
 from wakeline.llm import words as Wd
 
 DOCS = "doc_id long, text string"
@@ -351,7 +352,17 @@ def test_license_scan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
-def test_chat_links_quotations(spark):
+def by_sql(name, table, df, tmp_path):
+    """Rows that the SQL of a query gives for a fixture."""
+    df.write.parquet(str(tmp_path / table))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path / table}/*.parquet'")
+    found = c.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in found.description]
+    return [dict(zip(names, r, strict=True)) for r in found.fetchall()]
+
+
+def test_chat_links_quotations(spark, tmp_path):
     rows = [
         (1, 0, "user", "How do I sort a list?\nIt has a million rows."),
         (1, 1, "assistant", "Use the sort method of the list."),
@@ -377,6 +388,9 @@ def test_chat_links_quotations(spark):
     for t in range(101, 1100, 100):
         assert by[4, t].reply_to == t - 100 and by[4, t].thread == 0
     assert by[1, 1].formatted == "<|assistant|>\nUse the sort method of the list.\n<|end|>"
+    names = sorted(out[0].asDict())
+    want = by_sql("op7_chat_format", "conversations", df.where("turn <> 5").drop("row", "thread"), tmp_path)
+    assert sorted(str([r[n] for n in names]) for r in out if r.turn != 5) == sorted(str([r[n] for n in names]) for r in want)
     plain = chat.format_chat(df.where("conv_id = 1 and turn < 2")).collect()
     assert {r.reply_to for r in plain} == {None} and chat.format_chat(df.limit(0)).count() == 0
 

@@ -97,8 +97,11 @@ def format_chat(conversations: DataFrame, template: str = "<|%s|>\n%s\n<|end|>")
     without quotes, plain and in the chat template (role, text)."""
     messages = conversations.select(F.monotonically_increasing_id().alias("row"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     marked = messages.where(F.col("text").rlike("(?m)" + _MARKS))
+    linked = bool(marked.head(1))
+    if linked:  # row numbers must be the same each time the messages are read
+        messages = written(messages, "messages")
     base = messages.select("row", "conv_id", "turn", "role", unquoted(F.col("text")).alias("text"))
-    if marked.head(1):
+    if linked:
         quotes = written(quoted_lines(messages), "quotes")
         answers = written(_answers(quotes), "answers")
         counts = quotes.groupBy("row").agg(F.count("*").alias("n_quoted"))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import audio, chat, decontaminate, licenses, linededup, mixing, neardup, tokens, toxicity, warc
 from ._common import table
+from .oracles import ALNUM as _ALNUM
+from .oracles import LOWER as _LOWER
+from .oracles import OP2, OP5, OP7
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,9 +59,6 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_toxicity, op4_mixing, op5_license_scan, op6_warc, op7_chat_format, op8_token_counts, op9_minhash, op10_audio)}
 
 
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-
 OP1 = rf"""
 WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram
@@ -101,4 +101,4 @@ FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op6_warc": OP6, "op9_minhash": OP9}
+    return {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op5_license_scan": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "op9_minhash": OP9}
