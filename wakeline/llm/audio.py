@@ -7,7 +7,8 @@ decibels relative to the file's median frame. Log-mel frames are stored as fixed
 [TENSOR_FRAMES, BANDS] with the time span that each covers; the last one is padded with NaN.
 
 Samples are handled in blocks of BLOCK, so arrays stay bounded for long media; a file's features don't depend on which
-other rows are in the batch. Defined results: a null text is empty; an empty payload is one unit of padding; media
+other rows are in the batch. All sums are in double precision: in single precision, quiet bands depend on the order in
+which a machine's linear algebra adds, and equal texts could get different features. Defined results: a null text is empty; an empty payload is one unit of padding; media
 shorter than a frame is one frame padded with silence; repeated rows have equal values; extra columns play no part.
 """
 
@@ -71,7 +72,7 @@ def _phases() -> np.ndarray:
     cut = 1 / max(UP, DOWN)
     h = np.sinc(n * cut) * np.hanning(2 * TAPS * UP + 1)[:-1]
     h = h.reshape(2 * TAPS, UP).T
-    return (h / h.sum(1, keepdims=True)).astype(np.float32)
+    return h / h.sum(1, keepdims=True)
 
 
 def _mel() -> np.ndarray:
@@ -80,10 +81,10 @@ def _mel() -> np.ndarray:
     edges = 700 * (10 ** (np.linspace(0, top, BANDS + 2) / 2595) - 1)
     f = np.linspace(0, OUT_RATE / 2, FRAME // 2 + 1)[:, None]
     up, down = (f - edges[:-2]) / (edges[1:-1] - edges[:-2]), (edges[2:] - f) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(up, down)).astype(np.float32)
+    return np.maximum(0, np.minimum(up, down))
 
 
-_PHASES, _MEL, _WINDOW = _phases(), _mel(), np.hanning(FRAME + 1)[:-1].astype(np.float32)
+_PHASES, _MEL, _WINDOW = _phases(), _mel(), np.hanning(FRAME + 1)[:-1]
 
 
 def resample(samples: np.ndarray) -> Iterator[np.ndarray]:
@@ -92,11 +93,11 @@ def resample(samples: np.ndarray) -> Iterator[np.ndarray]:
     for lo in range(0, n, BLOCK):
         hi = min(n, lo + BLOCK)
         left, right = max(0, lo - TAPS), min(n, hi + TAPS + DOWN)
-        x = np.zeros(hi - lo + 2 * TAPS + DOWN, np.float32)
-        x[left - (lo - TAPS) : right - (lo - TAPS)] = (samples[left:right].astype(np.float32) - 128) / 128
+        x = np.zeros(hi - lo + 2 * TAPS + DOWN)
+        x[left - (lo - TAPS) : right - (lo - TAPS)] = (samples[left:right].astype(np.float64) - 128) / 128
         views = np.lib.stride_tricks.sliding_window_view(x, 2 * TAPS)
         groups = -(-(hi - lo) // DOWN)
-        out = np.empty((groups, UP), np.float32)
+        out = np.empty((groups, UP))
         for phase in range(UP):
             base = phase * DOWN // UP + 1
             # taps run against time: the filter's centre lies on the input place
@@ -106,13 +107,13 @@ def resample(samples: np.ndarray) -> Iterator[np.ndarray]:
 
 def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """frames x BANDS log energies, and each frame's level in decibels."""
-    rest, mels, levels = np.zeros(0, np.float32), [], []
+    rest, mels, levels = np.zeros(0), [], []
 
     def take(y: np.ndarray) -> None:
         frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] * _WINDOW
         power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-        mels.append(np.log(power.astype(np.float32) @ _MEL + 1e-6))
-        levels.append(10 * np.log10((frames.astype(np.float64) ** 2).mean(1) + 1e-10))
+        mels.append(np.log(power @ _MEL + 1e-6))
+        levels.append(10 * np.log10((frames**2).mean(1) + 1e-10))
 
     for y in resample(samples):
         rest = np.concatenate([rest, y])
@@ -120,7 +121,7 @@ def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             take(rest)
             rest = rest[((len(rest) - FRAME) // HOP + 1) * HOP :]
     if not mels:
-        take(np.concatenate([rest, np.zeros(FRAME - len(rest), np.float32)]))
+        take(np.concatenate([rest, np.zeros(FRAME - len(rest))]))
     return np.concatenate(mels), np.concatenate(levels)
 
 
@@ -148,7 +149,7 @@ def features(media: bytes) -> Features:
 
 
 def summary(f: Features) -> str:
-    mean = ",".join(f"{v:.2f}" for v in f.mel.astype(np.float64).mean(0))
+    mean = ",".join(f"{v:.2f}" for v in f.mel.mean(0))
     return f"frames={len(f.mel)};segments={len(f.spans)};active={sum(b - a for a, b in f.spans):.3f};mel={mean}"
 
 
