@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wakeline.operators import clusters as C
@@ -43,7 +44,9 @@ def test_components_match_brute_force(spark):
     assert {tuple(r) for r in connected_components(df).collect()} == want
 
 
-def test_cycles_match_brute_force(spark):
+@pytest.mark.parametrize("in_task", [500_000, 0])
+def test_cycles_match_brute_force(spark, monkeypatch, in_task):
+    monkeypatch.setattr(Y, "MOST_EDGES_IN_TASK", in_task)
     rnd = random.Random(2)
     pairs = list({(f"n{rnd.randrange(30):02}", f"n{rnd.randrange(30):02}") for _ in range(48)})
     far = reach(pairs)
@@ -67,10 +70,12 @@ def test_cycle_kinds_and_lengths(spark):
     assert Y.cycle_groups(edges, None).count() == 2
 
 
-def test_large_cycle_starts_at_its_first_node(spark):
-    ring = [f"n{i:03}" for i in range(60)]
+@pytest.mark.parametrize(("in_task", "n"), [(500_000, 60), (0, 6)])
+def test_large_cycle_starts_at_its_first_node(spark, monkeypatch, in_task, n):
+    monkeypatch.setattr(Y, "MOST_EDGES_IN_TASK", in_task)
+    ring = [f"n{i:03}" for i in range(n)]
     edges = make_edges(spark, list(zip(ring, ring[1:] + ring[:1])))
-    assert [tuple(r) for r in Y.shortest_cycles(edges, Y.cycle_groups(edges)).collect()] == [("n000", 60)]
+    assert [tuple(r) for r in Y.shortest_cycles(edges, Y.cycle_groups(edges)).collect()] == [("n000", n)]
 
 
 def test_metrics_of_a_small_graph(spark):
