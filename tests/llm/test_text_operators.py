@@ -234,6 +234,25 @@ def test_line_dedup_matches_brute_force(spark, edits):
     assert linededup.report(docs.limit(0)).count() == 0
 
 
+def near_limit(n):
+    """Edits that a line of n characters may be apart from one as long or longer."""
+    return 1 if n < 40 else 2 if n < 64 else 3 if n < 80 else 4 if n < 112 else 5
+
+
+def test_line_dedup_allows_more_edits_in_longer_lines(spark):
+    rnd = random.Random(9)
+    bases = ["".join(rnd.choice("abcdeé ") for _ in range(n)).strip() + "." for n in (15, 17, 30, 38, 41, 57, 63, 66, 78, 81, 95, 110, 113, 127, 130, 160, 400) for _ in range(2)]
+    kinds = sorted({x for b in bases for i in range(12) for x in [edited(rnd, b, i // 2)] if len(x) >= linededup.LEAST and x == x.strip()})
+    want = {frozenset((x, y)) for i, x in enumerate(kinds) for y in kinds[:i] if abs(len(x) - len(y)) <= 5 and distance(x, y) <= near_limit(min(len(x), len(y)))}
+    assert {distance(*p) for p in want} == {1, 2, 3, 4, 5}
+    own = spark.createDataFrame(list(enumerate(kinds)), "id long, line string")
+    got = [frozenset((kinds[r.a], kinds[r.b])) for r in linededup.near_pairs(own, None, linededup.LEAST).collect()]
+    assert set(got) == want and len(got) == len(want)
+    words = "the committee will publish its full report on the state of the harbour before the end of the coming winter season"
+    docs = docs_of(spark, [(1, words), (2, words.replace("state", "shape")), (3, words[:30]), (4, words[:28] + "xy")])
+    assert {r.doc_id: r.dropped for r in linededup.report(docs).collect()} == {1: "", 2: "0", 3: "", 4: ""}
+
+
 def test_toxicity_learns_and_scores_every_row(spark):
     rnd = random.Random(11)
     syllables = ["ta", "no", "ri", "el", "mu", "so", "ka", "vi"]

@@ -1,12 +1,14 @@
 """Line deduplication by a segment-partition edit join, in DataFrame operations only.
 
 Lines are compared lower-cased and trimmed. Equal lines are one line; two lines are near if their edit distance is at
-most `edits`. A line is split into edits + 1 segments, so a near line must hold one of them unchanged, at a place that
-the lengths of both lines limit (the multi-match-aware windows of segment partitioning). Segment hashes with their
-length, number and text are the index; each line probes the index of every shorter or equal length within `edits`.
-Counts of frequent letters, which an edit changes by two at most, thin out candidates before they are made. Candidates
-are verified by banded bit-parallel edit distance. Near lines are joined to classes (connected components), and of each
-class only the first line (smallest doc_id, then line number) stays.
+most what the shorter one's length allows: 1 from 16 characters on, 2 from 40, 3 from 64, 4 from 80, 5 from 112, or
+`edits` at every length. Lines fall into classes of length. The first characters of a line, as many as the shortest of
+its class has, are split into edits + 1 segments, one of which a near line holds unchanged, moved by fewer characters
+than the segment's number. Of a segment, windows at a few offsets are hashed, chosen so that any such shift is the
+difference of two offsets: lines meet where hashes are equal. A line that is just longer than its class's least length
+is hashed for the class below too. Counts of frequent letters, which an edit changes by two at most, thin out candidates
+before they are made. Candidates are verified by banded bit-parallel edit distance. Near lines are joined to classes
+(connected components), and of each class only the first line (smallest doc_id, then line number) stays.
 
 Lines shorter than `least` characters are left alone. Defined results: a null text has one empty line; rows of one
 doc_id are one document, and equal lines at equal places of it don't replace each other; a null doc_id comes after all
@@ -17,14 +19,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators.components import connected_components
 from ._common import DOC_ID, TEXT, written
 
-EDITS, LEAST = 1, 16
+LEAST = 16
+#: A line may have one edit for each STEP characters of its class, from 1 to MOST_EDITS of them.
+STEP, MOST_EDITS = 20, 5
+#: Offsets at which windows of segment i + 1 are hashed: every shift up to i is a difference of two of them.
+RULERS = ((0,), (0, 1), (0, 1, 2), (0, 1, 3), (0, 1, 2, 4), (0, 1, 2, 5))
 LETTERS = "etnairs"
-#: Slots of the broadcast filter that finds candidates' texts again; a bound on its rows.
-SLOTS = 1 << 20
 _LAST_DOC = (1 << 63) - 1
 
 
@@ -35,27 +40,30 @@ def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return out.select("doc", "at", F.lower(F.trim(F.col("line"), F.lit(" \t\r"))).alias("line")).where(F.length("line") >= least)
 
 
-def _segment(length: Column, i: int, m: int) -> tuple[Column, Column]:
-    """First character (from 1) and size of segment i of m of a line of this length; the last ones are longer by one."""
-    size, longer = F.floor(length / m).cast("int"), (length % m).cast("int")
-    first = F.lit(i - 1) * size + F.greatest(F.lit(0), F.lit(i - 1 - m) + longer) + 1
-    return first, size + F.when(F.lit(i) > F.lit(m) - longer, 1).otherwise(0)
+def length_class(length: Column) -> Column:
+    """The least length of a line's class: the length with all but its first three binary digits made 0."""
+    low = F.greatest(F.length(F.bin(length.cast("long"))) - 3, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", length, low), low)
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """Hashes: those by which a line is indexed, and those by which it probes."""
-    m = edits + 1
-    index = []
-    for i in range(1, m + 1):
-        first, size = _segment(length, i, m)
-        index.append(F.xxhash64(length, F.lit(i), F.substring(line, first, size)))
-    probe = []
-    for delta in range(edits + 1):
-        for i in range(1, m + 1):
-            first, size = _segment(length - delta, i, m)
-            for shift in range(max(1 - i, delta - (m - i)), min(i - 1, delta + (m - i)) + 1):
-                probe.append(F.xxhash64(length - delta, F.lit(i), F.substring(line, first + shift, size)))
-    return index, probe
+def allowed(floor: Column, edits: int | None) -> Column:
+    """Edits that a line whose class begins at `floor` may be apart from a line as long or longer; None: by length."""
+    return F.lit(edits) if edits else F.least(F.greatest(F.floor(floor / STEP).cast("int"), F.lit(1)), F.lit(MOST_EDITS))
+
+
+def window_keys(line: Column, floor: Column, edits: Column, most: int) -> Column:
+    """Hashes of windows of a line's segments, seen from the class at `floor`; two near lines share one of them.
+
+    The first characters of the shorter line are split into edits + 1 segments. The first i + 1 of them with fewer than
+    i + 1 edits end in one that is whole and moved by at most i in the other line, so two offsets of RULERS[i] meet.
+    """
+    size = F.floor(floor / (edits + 1)).cast("int")
+    keys = []
+    for i, ruler in enumerate(RULERS[: most + 1]):
+        for offset in ruler:
+            key = F.xxhash64(floor, F.lit(i), F.substring(line, i * size + 1 + offset, size - ruler[-1]))
+            keys.append(F.when(edits >= i, key))
+    return F.array(*keys)
 
 
 def _letters(line: Column) -> Column:
@@ -130,20 +138,37 @@ def banded_distance(x: Column, y: Column, edits: int) -> Column:
     return F.aggregate(y, start, run, lambda s: s["d"])
 
 
-def near_pairs(own: DataFrame, docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """(a, b): lines within `edits`; own has (id, n, letters, index, probe) once for each line."""
-    index = own.select(F.explode("index").alias("key"), F.col("id").alias("a"), F.col("length").alias("na"), F.col("letters").alias("la"))
-    probe = own.select(F.explode("probe").alias("key"), F.col("id").alias("b"), F.col("length").alias("nb"), F.col("letters").alias("lb"))
-    once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = index.join(probe, "key").where(once & (F.col("nb") - F.col("na") <= edits) & (_apart(F.col("la"), F.col("lb")) <= 2 * edits)).select("a", "b").distinct()
+def near_pairs(own: DataFrame, edits: int | None, least: int) -> DataFrame:
+    """(a, b): lines that are near; own has (id, line) once for each line."""
+    most = edits or MOST_EDITS
+    if edits is not None and (least // (edits + 1) <= RULERS[edits][-1] or 1 << (least.bit_length() - 3) < edits):
+        raise ValueError(f"{edits} edits need a greater length than {least}")
+    n = F.length("line")
+    own = own.where(n >= least).select("id", "line", n.alias("length"), length_class(n).alias("floor"))
+    below = length_class(F.col("floor") - 1)
+    reaches = (F.col("floor") > least) & (F.col("length") - F.col("floor") < allowed(below, edits))
+    seen = own.select("id", "line", "length", F.explode(F.when(reaches, F.array("floor", below)).otherwise(F.array("floor"))).alias("floor"))
+    seen = seen.withColumn("edits", allowed(F.col("floor"), edits))
+    # the last byte holds the length modulo 32 and the edits
+    about = _letters(F.col("line")).bitwiseOR(F.shiftleft((F.col("length") % 32 * 8 + F.col("edits")).cast("long"), 56))
+    seen = seen.select("id", "line", "floor", "edits", about.alias("about"))
+    keyed = seen.select("about", "id", F.explode(window_keys(F.col("line"), F.col("floor"), F.col("edits"), most)).alias("key")).where("key is not null")
+    # most keys are of one line only: what is left after one shuffle is small
+    same = W.partitionBy("key")
+    keyed = keyed.select("*", F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi")).where("lo < hi").select("key", "id", "about")
+    keyed = written(keyed, "line-keys")
+    x, y = (keyed.select("key", F.col("id").alias(i), F.col("about").alias(f"about_{i}")) for i in "ab")
+    most_apart = F.shiftright("about_a", 56).bitwiseAND(F.lit(7).cast("long"))
+    na, nb = (F.shiftright(f"about_{i}", 59).bitwiseAND(F.lit(31).cast("long")) for i in "ab")
+    close = F.least(F.pmod(na - nb, F.lit(32)), F.pmod(nb - na, F.lit(32))) <= most_apart
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & close & (_apart(F.col("about_a"), F.col("about_b")) <= 2 * most_apart)).select("a", "b").distinct()
     pairs = written(pairs, "line-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    slot = F.pmod(F.col("id"), F.lit(SLOTS)).alias("slot")
-    found = lines(docs, least).withColumn("id", F.xxhash64("line"))
-    found = found.join(F.broadcast(ids.select(slot).distinct()), F.pmod(found["id"], F.lit(SLOTS)) == F.col("slot"), "left_semi")
-    texts = written(found.groupBy("id").agg(F.min("line").alias("line")).join(ids, "id", "left_semi").select("id", F.split("line", "").alias("chars")), "line-texts")
+    texts = written(own.join(ids, "id", "left_semi").select("id", F.split("line", "").alias("chars")), "line-texts")
     pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("chars").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("chars").alias("y")), "b")
-    return pairs.where(banded_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
+    limit = allowed(length_class(F.least(F.size("x"), F.size("y"))), edits)
+    pairs = pairs.where(F.abs(F.size("x") - F.size("y")) <= limit)
+    return pairs.where(banded_distance(F.col("x"), F.col("y"), most) <= limit).select("a", "b")
 
 
 def _place() -> Column:
@@ -151,17 +176,14 @@ def _place() -> Column:
     return F.col("doc").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("at").cast("decimal(12,0)")
 
 
-def dropped(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dropped(docs: DataFrame, edits: int | None = None, least: int = LEAST) -> DataFrame:
     """(doc, at, class): the lines that repeat an earlier one; class is the hash of the class's representative."""
     found = lines(docs, least)
-    length, letters = F.length("line").alias("length"), _letters(F.col("line")).alias("letters")
-    index, probe = segment_keys(F.col("line"), F.length("line"), edits)
-    keys = {f"k{i}": k for i, k in enumerate((*index, *probe))}
-    keyed = found.select(F.xxhash64("line").alias("id"), _place().cast("decimal(38,0)").alias("place"), length, letters, *(k.alias(n) for n, k in keys.items()))
-    # all parts are numbers, so that the lines are aggregated by hash before and after the shuffle
-    own = keyed.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("length", "letters", *keys)))
-    own = written(own.select("id", "first", "n", "length", "letters", F.array(*list(keys)[: len(index)]).alias("index"), F.array(*list(keys)[len(index) :]).alias("probe")), "lines")
-    near = near_pairs(own, docs, edits, least)
+    # the text is a key, so that the lines are aggregated by hash before and after the shuffle
+    own = found.groupBy(F.xxhash64("line").alias("id"), "line").agg(F.min(_place().cast("decimal(38,0)")).alias("first"), F.count("*").alias("n"))
+    own = written(own, "lines")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle of all lines before that of their keys
+    near = near_pairs(own.select("id", "line"), edits, least)
     labels = connected_components(near, "a", "b").select(F.col("node").alias("id"), "component")
     shared = own.select("id", "n", "first").join(labels, "id", "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", "id"))
     firsts = shared.groupBy("class").agg(F.min("first").alias("first"))
@@ -170,7 +192,7 @@ def dropped(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
     return places.where(_place() != F.col("first")).select("doc", "at", "class")
 
 
-def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def report(docs: DataFrame, edits: int | None = None, least: int = LEAST) -> DataFrame:
     """One row per doc_id: (doc_id, n_lines, n_dropped, dropped), dropped being the line numbers, from 0, joined by commas."""
     gone = dropped(docs, edits, least).distinct().groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
     doc = F.coalesce(F.col(DOC_ID).cast("long"), F.lit(_LAST_DOC))
@@ -178,7 +200,7 @@ def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame
     return sizes.join(gone, "doc", "left").select(F.nullif("doc", F.lit(_LAST_DOC)).alias("doc_id"), "n_lines", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("at", ","), F.lit("")).alias("dropped"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int | None = None, least: int = LEAST) -> DataFrame:
     """docs, same columns, without the lines that repeat an earlier one; a document of which nothing is left goes."""
     gone = dropped(docs, edits, least).groupBy("doc").agg(F.collect_set("at").alias("__gone"))
     names = docs.columns
