@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that an earlier document or line has, up to one to five edits by length; documents of which nothing is left go."""
-    return linededup.without_repeated_lines(docs)
+    return linededup.without_repeated_lines(docs, shortest=1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

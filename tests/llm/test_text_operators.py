@@ -253,6 +253,12 @@ def test_line_dedup_allows_more_edits_in_longer_lines(spark):
     assert {r.doc_id: r.dropped for r in linededup.report(docs).collect()} == {1: "", 2: "0", 3: "", 4: ""}
 
 
+def test_registered_line_dedup_drops_equal_short_lines(spark, tmp_path):
+    docs_of(spark, [(1, "Yes\n\nNo\n\nyet"), (2, " yes\nno!\nx"), (3, "X\n\nYES")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.queries()["op2_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.dropped for r in got} == {1: "", 2: "0", 3: "0,2"}
+
+
 def test_toxicity_learns_and_scores_every_row(spark):
     rnd = random.Random(11)
     syllables = ["ta", "no", "ri", "el", "mu", "so", "ka", "vi"]

@@ -10,7 +10,8 @@ is hashed for the class below too. Counts of frequent letters, which an edit cha
 before they are made. Candidates are verified by banded bit-parallel edit distance. Near lines are joined to classes
 (connected components), and of each class only the first line (smallest doc_id, then line number) stays.
 
-Lines shorter than `least` characters are left alone. Defined results: a null text has one empty line; rows of one
+Lines shorter than `least` characters are near no other line. Equal lines of `shortest` characters or more are repeats
+(by default `least`; queries and pipeline use 1, so that only empty lines are left alone). Defined results: a null text has one empty line; rows of one
 doc_id are one document, and equal lines at equal places of it don't replace each other; a null doc_id comes after all
 others; extra columns pass through. Lines are told apart by 64-bit hashes, but near lines are verified on their text.
 """
@@ -30,6 +31,8 @@ STEP, MOST_EDITS = 20, 5
 #: Offsets at which windows of segment i + 1 are hashed: every shift up to i is a difference of two of them.
 RULERS = ((0,), (0, 1), (0, 1, 2), (0, 1, 3), (0, 1, 2, 4), (0, 1, 2, 5))
 LETTERS = "etnairs"
+#: Slots of the broadcast filter that finds candidates' texts again; a bound on its rows.
+SLOTS = 1 << 20
 _LAST_DOC = (1 << 63) - 1
 
 
@@ -139,7 +142,7 @@ def banded_distance(x: Column, y: Column, edits: int) -> Column:
 
 
 def near_pairs(own: DataFrame, edits: int | None, least: int) -> DataFrame:
-    """(a, b): lines that are near; own has (id, line) once for each line."""
+    """(a, b): lines that are near; own has (id, line), where lines may repeat."""
     most = edits or MOST_EDITS
     if edits is not None and (least // (edits + 1) <= RULERS[edits][-1] or 1 << (least.bit_length() - 3) < edits):
         raise ValueError(f"{edits} edits need a greater length than {least}")
@@ -153,9 +156,9 @@ def near_pairs(own: DataFrame, edits: int | None, least: int) -> DataFrame:
     about = _letters(F.col("line")).bitwiseOR(F.shiftleft((F.col("length") % 32 * 8 + F.col("edits")).cast("long"), 56))
     seen = seen.select("id", "line", "floor", "edits", about.alias("about"))
     keyed = seen.select("about", "id", F.explode(window_keys(F.col("line"), F.col("floor"), F.col("edits"), most)).alias("key")).where("key is not null")
-    # most keys are of one line only: what is left after one shuffle is small
+    # most keys are of one line only, repeated or not: what is left after one shuffle is small
     same = W.partitionBy("key")
-    keyed = keyed.select("*", F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi")).where("lo < hi").select("key", "id", "about")
+    keyed = keyed.select("*", F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi")).where("lo < hi").select("key", "id", "about").distinct()
     keyed = written(keyed, "line-keys")
     x, y = (keyed.select("key", F.col("id").alias(i), F.col("about").alias(f"about_{i}")) for i in "ab")
     most_apart = F.shiftright("about_a", 56).bitwiseAND(F.lit(7).cast("long"))
@@ -164,7 +167,9 @@ def near_pairs(own: DataFrame, edits: int | None, least: int) -> DataFrame:
     pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & close & (_apart(F.col("about_a"), F.col("about_b")) <= 2 * most_apart)).select("a", "b").distinct()
     pairs = written(pairs, "line-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(own.join(ids, "id", "left_semi").select("id", F.split("line", "").alias("chars")), "line-texts")
+    slot = F.pmod(F.col("id"), F.lit(SLOTS)).alias("slot")
+    found = own.join(F.broadcast(ids.select(slot).distinct()), F.pmod(own["id"], F.lit(SLOTS)) == F.col("slot"), "left_semi")
+    texts = written(found.groupBy("id").agg(F.min("line").alias("line")).join(ids, "id", "left_semi").select("id", F.split("line", "").alias("chars")), "line-texts")
     pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("chars").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("chars").alias("y")), "b")
     limit = allowed(length_class(F.least(F.size("x"), F.size("y"))), edits)
     pairs = pairs.where(F.abs(F.size("x") - F.size("y")) <= limit)
@@ -176,14 +181,13 @@ def _place() -> Column:
     return F.col("doc").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("at").cast("decimal(12,0)")
 
 
-def dropped(docs: DataFrame, edits: int | None = None, least: int = LEAST) -> DataFrame:
+def dropped(docs: DataFrame, edits: int | None = None, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """(doc, at, class): the lines that repeat an earlier one; class is the hash of the class's representative."""
-    found = lines(docs, least)
-    # the text is a key, so that the lines are aggregated by hash before and after the shuffle
-    own = found.groupBy(F.xxhash64("line").alias("id"), "line").agg(F.min(_place().cast("decimal(38,0)")).alias("first"), F.count("*").alias("n"))
+    found = lines(docs, least if shortest is None else shortest)
+    # all parts are numbers, so that the lines are aggregated by hash before and after the shuffle
+    own = found.groupBy(F.xxhash64("line").alias("id")).agg(F.min(_place().cast("decimal(38,0)")).alias("first"), F.count("*").alias("n"))
     own = written(own, "lines")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle of all lines before that of their keys
-    near = near_pairs(own.select("id", "line"), edits, least)
+    near = near_pairs(found.select(F.xxhash64("line").alias("id"), "line"), edits, least)
     labels = connected_components(near, "a", "b").select(F.col("node").alias("id"), "component")
     shared = own.select("id", "n", "first").join(labels, "id", "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", "id"))
     firsts = shared.groupBy("class").agg(F.min("first").alias("first"))
@@ -192,17 +196,17 @@ def dropped(docs: DataFrame, edits: int | None = None, least: int = LEAST) -> Da
     return places.where(_place() != F.col("first")).select("doc", "at", "class")
 
 
-def report(docs: DataFrame, edits: int | None = None, least: int = LEAST) -> DataFrame:
+def report(docs: DataFrame, edits: int | None = None, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """One row per doc_id: (doc_id, n_lines, n_dropped, dropped), dropped being the line numbers, from 0, joined by commas."""
-    gone = dropped(docs, edits, least).distinct().groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    gone = dropped(docs, edits, least, shortest).distinct().groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
     doc = F.coalesce(F.col(DOC_ID).cast("long"), F.lit(_LAST_DOC))
     sizes = docs.select(doc.alias("doc"), F.size(F.split(F.coalesce(TEXT, F.lit("")), "\n")).cast("long").alias("n")).groupBy("doc").agg(F.max("n").alias("n_lines"))
     return sizes.join(gone, "doc", "left").select(F.nullif("doc", F.lit(_LAST_DOC)).alias("doc_id"), "n_lines", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("at", ","), F.lit("")).alias("dropped"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int | None = None, least: int = LEAST) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int | None = None, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """docs, same columns, without the lines that repeat an earlier one; a document of which nothing is left goes."""
-    gone = dropped(docs, edits, least).groupBy("doc").agg(F.collect_set("at").alias("__gone"))
+    gone = dropped(docs, edits, least, shortest).groupBy("doc").agg(F.collect_set("at").alias("__gone"))
     names = docs.columns
     doc = F.coalesce(docs[DOC_ID].cast("long"), F.lit(_LAST_DOC))
     parts = F.split(F.coalesce(docs[TEXT], F.lit("")), "\n")

@@ -20,7 +20,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(table(spark, sf_dir, "documents"))
+    return linededup.report(table(spark, sf_dir, "documents"), shortest=1)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
