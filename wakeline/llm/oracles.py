@@ -31,24 +31,23 @@ FROM place LEFT JOIN gaps USING (doc_id) GROUP BY doc_id
 
 
 def license_sql() -> str:
+    """A span is accepted at a diagonal if enough places of the template stand, in the document, on it or near it."""
     every = [t._replace(base=True) for t in licenses.BASE] + licenses.METHOD
     rows = [(i, licenses.template_words(t.text), t.label, t.base) for i, t in enumerate(every)]
     values = ", ".join(f"({i}, {w!r}, '{label}', {base})" for i, w, label, base in rows)
     k = licenses.K
     return rf"""
 WITH t(t, w, label, base) AS (VALUES {values}),
-size AS (SELECT t, len(w) - {k - 1} AS grams, len(w) AS length, label, base FROM t),
+size AS (SELECT t, w AS tw, len(w) - {k - 1} AS grams, CASE WHEN base THEN 0 ELSE least({licenses.DRIFT}, len(w) // 4) END AS drift, label, base FROM t),
 spot AS (SELECT t, p - 1 AS place, array_to_string(w[p:p + {k - 1}], ' ') AS g FROM t, range(1, len(w) - {k - 2}) AS r(p)),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, {ALNUM}) AS w FROM documents),
-vote AS (SELECT DISTINCT r, t, pos - place AS diagonal, place
-         FROM (SELECT r, i - 1 AS pos, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM d, range(1, len(w) - {k - 2}) AS x(i)) JOIN spot USING (g)),
-line AS (SELECT r, t, diagonal, list(place) AS places FROM vote GROUP BY ALL),
-step AS (SELECT *, base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) > {licenses.DRIFT}, false) AS apart FROM line JOIN size USING (t)),
-part AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY r, t ORDER BY diagonal) AS span FROM step),
-span AS (SELECT r, t, span, grams, length, label, base, len(list_distinct(flatten(list(places)))) AS covered, min(diagonal + list_min(places)) AS s,
-           max(diagonal + list_max(places) + {k}) AS e, bool_or(len(places) = grams) AS exact FROM part GROUP BY ALL),
-good AS (SELECT * FROM span WHERE CASE WHEN base THEN exact ELSE covered >= grams * {licenses.LEAST_COVER} AND e - s <= length * {licenses.MOST_STRETCH} END),
-found AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+anchor AS (SELECT DISTINCT r, t, pos - 1 - place AS a
+           FROM (SELECT r, i AS pos, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM d, range(1, len(w) - {k - 2}) AS x(i)) JOIN spot USING (g)),
+span AS (SELECT r, t, a, grams, label, base,
+           len(list_filter(range(0, grams), lambda p: len(list_filter(range(-drift, drift + 1), lambda e: a + p + e >= 0 AND w[a + p + e + 1:a + p + e + {k}] = tw[p + 1:p + {k}])) > 0)) AS covered
+         FROM anchor JOIN size USING (t) JOIN d USING (r)),
+good AS (SELECT * FROM span WHERE covered >= grams * CASE WHEN base THEN 1 ELSE {licenses.LEAST_COVER} END),
+found AS (SELECT r, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word,
             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered / grams) AS score
           FROM good GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
