@@ -1,14 +1,19 @@
 """Audio features of media columns: polyphase resampling, overlapped log-mel filterbanks, hysteresis segmentation.
 
-Bytes are stored losslessly as a WAV file of unsigned 8-bit mono samples. Features are made from the samples read back
-from that file: a windowed-sinc polyphase filter resamples by UP/DOWN, frames of FRAME samples every HOP are taken to
-BANDS log-mel energies, and frames become segments where the energy rises above HIGH and until it falls below LOW
-decibels relative to the file's median frame. Log-mel frames are stored as fixed-shape Arrow tensors
-[TENSOR_FRAMES, BANDS] with the time span that each covers; the last one is padded with NaN.
+Three tables, each written to the shared folder before the next is made from what is read back: media (a WAV file of
+unsigned 8-bit mono samples, lossless, in a binary column), features of the media, and a digest of both. A windowed-sinc
+polyphase filter resamples by UP/DOWN, frames of FRAME samples every HOP are taken to BANDS log-mel energies, and frames
+become segments where the energy rises above HIGH and until it falls below LOW decibels relative to the file's median
+frame. Samples after the last whole frame are padded with silence to one more frame, so every sample is in a frame.
+Log-mel frames are stored as fixed-shape Arrow tensors [TENSOR_FRAMES, BANDS] with the time span that each covers; the
+last one is padded with NaN.
 
 Samples are handled in blocks of BLOCK, so arrays stay bounded for long media; a file's features don't depend on which
 other rows are in the batch. All sums are in double precision: in single precision, quiet bands depend on the order in
-which a machine's linear algebra adds, and equal texts could get different features. Defined results: a null text is empty; an empty payload is one unit of padding; media
+which a machine's linear algebra adds, and equal texts could get different features. Tensors hold the results in single
+precision. A very long text is one value of a binary column, up to Arrow's 2 GB.
+
+Defined results: an empty table gives no rows; a null text is empty; an empty payload is one unit of padding; media
 shorter than a frame is one frame padded with silence; repeated rows have equal values; extra columns play no part.
 """
 
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import DOC_ID, TEXT, text_column
+from ._common import DOC_ID, TEXT, text_column, written
 
 RATE, UP, DOWN = 8000, 3, 4
 TAPS = 8  # per phase and side
@@ -36,7 +41,8 @@ BLOCK = 1 << 18
 TENSOR_FRAMES = 64
 OUT_RATE = RATE * UP // DOWN
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-TENSORS = "doc_id long, chunk int, start_s double, end_s double, n_frames int, tensor binary"
+MEDIA = "doc_id long, n_bytes long, media binary"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors array<struct<start_s: double, end_s: double, n_frames: int, tensor: binary>>, segments array<struct<start_s: double, end_s: double>>"
 
 
 def padded(text: bytes) -> bytes:
@@ -120,7 +126,7 @@ def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(rest) >= FRAME:
             take(rest)
             rest = rest[((len(rest) - FRAME) // HOP + 1) * HOP :]
-    if not mels:
+    if not mels or len(rest) > FRAME - HOP:  # samples that no frame has: one more, padded with silence
         take(np.concatenate([rest, np.zeros(FRAME - len(rest))]))
     return np.concatenate(mels), np.concatenate(levels)
 
@@ -135,6 +141,14 @@ def segments(levels: np.ndarray) -> list[tuple[float, float]]:
     return [(float(a * HOP / OUT_RATE), float(b * HOP / OUT_RATE)) for a, b in edges]
 
 
+_SPAN = [("start_s", pa.float64()), ("end_s", pa.float64())]
+_MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+_FEATURES = pa.schema([
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()),
+    ("tensors", pa.list_(pa.struct([*_SPAN, ("n_frames", pa.int32()), ("tensor", pa.binary())]))), ("segments", pa.list_(pa.struct(_SPAN))),
+])
+
+
 class Features(NamedTuple):
     mel: np.ndarray
     spans: list[tuple[float, float]]
@@ -148,30 +162,6 @@ def features(media: bytes) -> Features:
     return Features(mel, segments(levels))
 
 
-def summary(f: Features) -> str:
-    mean = ",".join(f"{v:.2f}" for v in f.mel.mean(0))
-    return f"frames={len(f.mel)};segments={len(f.spans)};active={sum(b - a for a, b in f.spans):.3f};mel={mean}"
-
-
-def describe(docs: DataFrame) -> DataFrame:
-    """One row per document: digests of the payload read back and of its stored form, and a summary of its features."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        for b in batches:
-            ids, texts = b.column(0), text_column(b, TEXT)
-            for start in range(0, len(texts), 512):
-                rows = []
-                for t in texts.slice(start, 512):
-                    raw = t.as_buffer().to_pybytes()
-                    media = encode_wav(padded(raw))
-                    payload = decode_wav(media)[1]
-                    rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), summary(features(media))))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, 512), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[x.split()[0] for x in RESULT.split(", ")])
-
-    return docs.select(F.col(DOC_ID).cast("long").alias(DOC_ID), TEXT).mapInArrow(run, RESULT)
-
-
 def tensor_bytes(mel: np.ndarray) -> bytes:
     """An Arrow stream of one fixed-shape tensor [TENSOR_FRAMES, BANDS]; missing frames are NaN."""
     full = np.full((1, TENSOR_FRAMES, BANDS), np.nan, np.float32)
@@ -189,18 +179,67 @@ def read_tensor(raw: bytes) -> np.ndarray:
         return r.read_all().column("mel").combine_chunks().to_numpy_ndarray()[0]
 
 
-def tensors(docs: DataFrame) -> DataFrame:
-    """The log-mel frames of each document in fixed-shape tensors, with the seconds that each covers."""
+def summary(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
+    mean = ",".join(f"{v:.2f}" for v in mel.mean(0, dtype=np.float64))
+    return f"frames={len(mel)};segments={len(spans)};active={sum(b - a for a, b in spans):.3f};mel={mean}"
+
+
+def _batches(rows: Iterator[tuple], kinds: pa.Schema, sizes: int) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of `sizes`."""
+    some: list[tuple] = []
+    for row in rows:
+        some.append(row)
+        if len(some) == sizes:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), kinds, strict=True)], schema=kinds)
+            some = []
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), kinds, strict=True)], schema=kinds)
+
+
+def media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): each text's padded bytes as a WAV file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary())
         for b in batches:
-            for doc, t in zip(b.column(0).to_pylist(), text_column(b, TEXT), strict=True):
-                mel = features(encode_wav(padded(t.as_buffer().to_pybytes()))).mel
-                rows = []
-                for i in range(0, len(mel), TENSOR_FRAMES):
-                    part = mel[i : i + TENSOR_FRAMES]
-                    rows.append((doc, i // TENSOR_FRAMES, i * HOP / OUT_RATE, ((i + len(part) - 1) * HOP + FRAME) / OUT_RATE, len(part), tensor_bytes(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in TENSORS.split(", ")])
-
-    return docs.select(F.col(DOC_ID).cast("long").alias(DOC_ID), TEXT).mapInArrow(run, TENSORS)
+            texts = (t.as_buffer().to_pybytes() for t in text_column(b, TEXT))
+            yield from _batches(((i, len(t), encode_wav(padded(t))) for i, t in zip(b.column(0).to_pylist(), texts, strict=True)), _MEDIA, 256)
+
+    return docs.select(F.col(DOC_ID).cast("long").alias(DOC_ID), TEXT).mapInArrow(run, MEDIA)
+
+
+def extract(stored: DataFrame) -> DataFrame:
+    """Digests, tensors with the seconds that each covers, and segments, of rows (doc_id, n_bytes, media)."""
+
+    def row(doc: int | None, n: int, raw: bytes) -> tuple:
+        payload, f = decode_wav(raw)[1], features(raw)
+        tensors = []
+        for i in range(0, len(f.mel), TENSOR_FRAMES):
+            part = f.mel[i : i + TENSOR_FRAMES]
+            tensors.append({"start_s": i * HOP / OUT_RATE, "end_s": ((i + len(part) - 1) * HOP + FRAME) / OUT_RATE, "n_frames": len(part), "tensor": tensor_bytes(part)})
+        return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), tensors, [{"start_s": a, "end_s": b} for a, b in f.spans]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _batches((row(i, n, x.as_buffer().to_pybytes()) for i, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)), _FEATURES, 64)
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+
+
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The media table and the feature table, both written to the shared folder and read back."""
+    stored = written(media(docs), "media")
+    return stored, written(extract(stored), "features")
+
+
+def describe(docs: DataFrame) -> DataFrame:
+    """One row per document: digests of the payload read back and of its stored form, and a summary of the stored features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = []
+            for tensors, spans in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
+                mel = np.concatenate([read_tensor(t["tensor"].as_py())[: t["n_frames"].as_py()] for t in tensors])
+                said.append(summary(mel, [(x["start_s"], x["end_s"]) for x in spans.as_py()]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(said, pa.string())], names=[x.split()[0] for x in RESULT.split(", ")])
+
+    return store(docs)[1].mapInArrow(run, RESULT)
