@@ -8,8 +8,10 @@ Of pages with equal payloads of at least `least` bytes the one of largest id is
 which hold no payload: payload length and digest stand in their header. Payloads are not shuffled: digests are grouped
 first, a bitmap of fixed size tells which pages may be revisits, and only these are checked by a join.
 
-A file is named by its task attempt and only a finished attempt's index rows count, so retried or speculative tasks
-leave no double records. Defined results: null html is an empty payload, a null url is empty, control characters in a
+A task writes its files under names of its own and gives them their final names when it has written all of them, so
+what a failed attempt leaves has no name of an archive; the index holds the files of the attempts that counted. Reading
+is dealt out by stretches of STRETCH_BYTES of a file to as many tasks as the selected bytes need. A very long payload is
+one record, in memory once in a task. Defined results: an empty table gives no records; null html is an empty payload, a null url is empty, control characters in a
 url are percent-encoded in the record; a page without id is a revisit if its payload has a response, else a response;
 repeated rows of a largest id are all responses; extra columns play no part.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -34,6 +37,9 @@ from ._common import fresh_path, written
 FILE_BYTES = 64 << 20
 #: Ranges at most this far apart are read at once, up to READ_BYTES.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Records that begin in one stretch of a file go to one task, and so many bytes of selected records are a task's share.
+STRETCH_BYTES, TASK_BYTES = 4 << 20, 4 << 20
+MOST_TASKS = 100_000
 FILTER_BITS = 1 << 25
 LEVEL = 1
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, payload_bytes long, record_type string"
@@ -85,7 +91,7 @@ def _writer(folder: str, response: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        out, name, offset = None, "", 0
+        out, name, offset, names = None, "", 0, []
         try:
             for b in batches:
                 rows: list[tuple] = []
@@ -95,7 +101,8 @@ def _writer(folder: str, response: bool):
                             if out is not None:
                                 out.close()
                             name, offset = f"{uuid.uuid4().hex}.warc.gz", 0
-                            out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                            names.append(name)
+                            out = fs.open_output_stream(f"{root}/_{name}", compression=None)
                         url = r["url"] or ""
                         if response:
                             payload = (r["html"] or "").encode()
@@ -113,15 +120,18 @@ def _writer(folder: str, response: bool):
         finally:
             if out is not None:
                 out.close()
+        for name in names:
+            fs.move(f"{root}/_{name}", f"{root}/{name}")
 
     return run
 
 
 def _may_be(ids: DataFrame) -> np.ndarray:
     slot = f"pmod(xxhash64(page_id), {FILTER_BITS})"
+    """A bitmap of fixed size, gathered as at most FILTER_BITS / 32 numbers."""
     out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in ids.groupBy(F.expr(f"cast({slot} div 32 as int)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} % 32 as int)))").alias("bits")).collect():
-        out[r[0]] = r[1]
+    words = ids.groupBy(F.expr(f"cast({slot} div 32 as int)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} % 32 as int)))").alias("bits")).toArrow()
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out
 
 
@@ -192,7 +202,10 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
-    return index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
+    chosen = index.select("file", "offset", "length")
+    # index rows are small, so the count of tasks is named: adaptive execution would put them all into one
+    tasks = min(MOST_TASKS, max(1, math.ceil((chosen.agg(F.sum("length")).first()[0] or 0) / TASK_BYTES)))
+    return chosen.repartition(tasks, "file", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
