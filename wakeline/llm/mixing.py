@@ -1,15 +1,15 @@
 """Mixing sources by temperature: p_i in proportion to (token share of source i) ** alpha.
 
 alpha is bisected so that the mixture's entropy reaches `entropy` of the greatest possible one (the logarithm of the
-number of sources), and raised if need be until no source is repeated more than `repeats` times within the budget. Each
-source then has a quota of budget * p_i tokens. Its documents are dealt in a fresh pseudo-random order each epoch until
+number of sources), and raised if need be until no source is repeated more than `repeats` times within the budget; a
+limit that even alpha = 1, the sources' own shares, breaks is an error. Each source then has a quota of budget * p_i tokens. Its documents are dealt in a fresh pseudo-random order each epoch until
 the quota is met, and the place within the quota says into which of the equally large blocks a document goes, so every
 block holds all sources in the target weights; inside a block the order is pseudo-random again.
 
 Running sums never gather a source in one task: each source's order is cut into ranges of the permutation's hash, ranges
 are summed, their sums are accumulated, and only rows of one range are sorted together. No text is shuffled.
 
-Defined results: a null source is the source ""; a null or empty text has no tokens and is dealt like any other; sources
+Defined results: an empty table gives no rows; a null source is the source ""; a null or empty text has no tokens and is dealt like any other; sources
 without tokens get nothing; with no tokens at all the result is empty; repeated rows are dealt one by one; a document's
 last draw may exceed the quota by less than that document. Extra columns play no part.
 """
@@ -28,7 +28,7 @@ from ._common import DOC_ID, TEXT, written
 
 ENTROPY, REPEATS = 0.92, 4.0
 BLOCK_TOKENS = 1 << 18
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: Up to so many sources are bisected on the driver; more are summed by Spark in each step.
 MOST_SOURCES = 100_000
 STEPS = 60
@@ -71,6 +71,11 @@ def temperature(measure: Callable[[float], Mixture], sources: int, entropy: floa
     return alpha
 
 
+def check_limit(found: Mixture, repeats: float) -> None:
+    if found.repeats > repeats * (1 + 1e-9):
+        raise ValueError(f"the budget repeats a source {found.repeats:.2f} times at least; the limit is {repeats}")
+
+
 def local_measure(shares: list[float], budget_ratio: float) -> Callable[[float], Mixture]:
     """budget_ratio: budget over all tokens."""
 
@@ -108,6 +113,7 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     else:
         measure = _spark_measure(sizes, total, budget / total)
     alpha = temperature(measure, n, entropy, repeats)
+    check_limit(measure(alpha), repeats)
     raised = F.pow(F.col("size") / total, F.lit(alpha))
     whole = sizes.agg(F.sum(raised)).first()[0]
     quota = sizes.withColumn("quota", raised / whole * budget).withColumn("ranges", F.ceil(F.col("rows") / RANGE_ROWS))
