@@ -38,6 +38,27 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_reads_in_parts_and_names_only_whole_attempts(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 14)
+    monkeypatch.setattr(warc, "TASK_BYTES", 1 << 12)
+    rnd = random.Random(2)
+    pages = spark.createDataFrame([(i, "u", "".join(rnd.choice("abcdefgh") for _ in range(2000))) for i in range(60)], "page_id long, url string, html string")
+    index, folder = warc.write(pages)
+    back = warc.read(index, folder)
+    assert back.rdd.getNumPartitions() > 4
+    assert {r.page_id: r.payload.decode() for r in back.collect()} == {r.page_id: r.html for r in pages.collect()}
+    names = {p.name for p in __import__("pathlib").Path(folder.removeprefix("file://")).iterdir() if not p.name.startswith(".")}
+    assert names == {r.file for r in index.select("file").distinct().collect()}
+
+    def broken(batches):
+        run = warc._writer(folder, True)
+        yield from run(batches)
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        pages.limit(3).mapInArrow(broken, warc.INDEX).collect()
+
+
 def test_warc_finds_damage():
     member = warc.record(1, "http://x", warc.digest32(b"abc"), 3, b"abc", None)
     fields, payload = warc.parse(member)
@@ -58,10 +79,67 @@ def test_audio_round_trip(spark):
         media = audio.encode_wav(payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert got[4].feature == got[5].feature and got[1].feature == got[2].feature != got[3].feature
-    parts = audio.tensors(docs.where("doc_id = 6")).orderBy("chunk").collect()
-    mel = audio.features(audio.encode_wav(audio.padded(("ab " * 40_000).encode()))).mel
-    joined = np.concatenate([audio.read_tensor(bytes(r.tensor))[: r.n_frames] for r in parts])
-    assert np.array_equal(joined, mel.astype(np.float32)) and parts[0].start_s == 0 and all(a.end_s > b.start_s for a, b in zip(parts, parts[1:]))
+    media, kept = audio.store(docs)
+    assert {r.doc_id: bytes(r.media) for r in media.collect()} == {d: audio.encode_wav(audio.padded((t or "").encode())) for d, t in rows}
+    for r in kept.collect():
+        mel = audio.features(audio.encode_wav(audio.padded((dict(rows)[r.doc_id] or "").encode()))).mel
+        joined = np.concatenate([audio.read_tensor(bytes(x.tensor))[: x.n_frames] for x in r.tensors])
+        assert np.array_equal(joined, mel.astype(np.float32)) and r.tensors[0].start_s == 0 and all(a.end_s > b.start_s for a, b in zip(r.tensors, r.tensors[1:]))
+    assert audio.describe(docs.limit(0)).count() == 0
+
+
+def plain_features(payload):
+    """Frames x bands and segments by the definition, sample by sample."""
+    x = [(b - 128) / 128 for b in payload]
+    n, up, down, taps = len(x), 3, 4, 8
+    h = np.array([np.sinc((m - taps * up) / down) * (0.5 - 0.5 * np.cos(2 * np.pi * m / (2 * taps * up))) for m in range(2 * taps * up)])
+    y = []
+    for m in range(-(-n * up // down)):
+        at, phase = m * down // up, m * down % up
+        own = h[phase::up] / h[phase::up].sum()
+        y.append(sum(own[k] * x[at + taps - k] for k in range(2 * taps) if 0 <= at + taps - k < n))
+    frame, hop, bands, rate = 256, 128, 24, 6000
+    count = 1 if len(y) <= frame else 1 + -(-(len(y) - frame) // hop)
+    y = np.array(y + [0.0] * ((count - 1) * hop + frame - len(y)))
+    mel = np.empty((count, bands))
+    levels = []
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top = 2595 * np.log10(1 + rate / 2 / 700)
+    edge = [hz(top * i / (bands + 1)) for i in range(bands + 2)]
+    for i in range(count):
+        w = y[i * hop : i * hop + frame] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame))
+        power = [abs(sum(w * np.exp(-2j * np.pi * k * np.arange(frame) / frame))) ** 2 for k in range(frame // 2 + 1)]
+        for b in range(bands):
+            lo, mid, hi = edge[b : b + 3]
+            f = [k * rate / frame for k in range(frame // 2 + 1)]
+            mel[i, b] = np.log(sum(p * max(0, min((v - lo) / (mid - lo), (hi - v) / (hi - mid))) for p, v in zip(power, f)) + 1e-6)
+        levels.append(10 * np.log10((w**2).mean() + 1e-10))
+    middle, on, spans = float(np.median(levels)), False, []
+    for i, v in enumerate([*levels, -1e9]):
+        if not on and v - middle >= 1.0:
+            on = True
+            spans.append([i * hop / rate, None])
+        elif on and v - middle <= -0.5:
+            on = False
+            spans[-1][1] = i * hop / rate
+    return mel, spans
+
+
+def test_audio_features_match_the_definition(spark):
+    rnd = random.Random(4)
+    texts = ["x", "loud ZZZ " * 30 + "....." * 60 + "~~~~ éé" * 20, "".join(rnd.choice("abc \n~É") for _ in range(1500)), "y" * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.feature for r in audio.describe(docs).collect()}
+    for i, t in enumerate(texts):
+        payload = audio.padded(t.encode())
+        mel, spans = plain_features(payload)
+        f = audio.features(audio.encode_wav(payload))
+        assert np.allclose(f.mel, mel, atol=1e-6) and np.allclose(np.array(f.spans).reshape(-1), np.array(spans).reshape(-1))
+        said = dict(x.split("=") for x in got[i].split(";"))
+        assert int(said["frames"]) == len(mel) and int(said["segments"]) == len(spans)
+        assert np.allclose([float(v) for v in said["mel"].split(",")], mel.mean(0), atol=0.006)
+        changed = audio.features(audio.encode_wav(payload[:-24] + bytes(b ^ 3 for b in payload[-24:]))).mel
+        assert changed.shape == f.mel.shape and not np.allclose(changed[-1], f.mel[-1])
 
 
 def test_features_do_not_depend_on_summation_order():

@@ -107,10 +107,32 @@ def test_decontamination_removes(spark, leaked):
         assert r.n_hit == "own column"
         if r.doc_id is not None and by[r.doc_id] != r.text:
             assert r.n_chars == len(r.text) and len(ALNUM.findall(r.text)) == brute_hits(by[r.doc_id], items)[0] - brute_hits(by[r.doc_id], items)[1]
+    joined = decontaminate.decontaminate(docs, bench, remove="spans", most=0)
+    assert joined.columns == docs.columns and sorted(map(str, joined.collect())) == sorted(map(str, cut))
     empty = docs.limit(0)
     assert decontaminate.report(empty, bench).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_broadcast_benchmark_is_compact():
+    import tracemalloc
+
+    rnd = random.Random(17)
+    items = [(i, " ".join(rnd.choice("aeiou") + str(rnd.randrange(10**5)) for _ in range(2000))) for i in range(80)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    windows = decontaminate._item_windows(items, 10)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(len(k) for k, _, _ in windows.by_length.values()) > 150_000 and held < 12 * size
+
+
+def test_one_of_two_rows_of_a_doc_id_is_removed(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    docs = docs_of(spark, [(None, "one two three four five six seven eight nine ten"), (None, "clean"), (1, "clean too"), (1, "x one two three four five six seven eight nine ten")])
+    for most in (1 << 20, 0):
+        assert {r.text for r in decontaminate.decontaminate(docs, bench, most=most).collect()} == {"clean", "clean too"}
+
+
 def brute_near(rows, k, percent):
     sets = []
     for _, t in rows:
@@ -341,6 +363,13 @@ def test_temperature_bisection():
     assert mixing.temperature(m, 3, 0.0, 100.0) == 1.0 and mixing.temperature(m, 1, 1.0, 1.0) == 1.0
 
 
+def test_mixing_refuses_a_limit_that_cannot_be_kept(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(12)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="16.67 times"):
+        mixing.mix(docs, budget=2000, repeats=4)
+    assert mixing.mix(docs, budget=480, repeats=4).count() == 48
+
+
 def test_mixing_of_many_sources_is_measured_by_spark(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 9 if i % 2 else 0}") for i in range(300)], "doc_id long, text string, source string")
     one = sorted(map(tuple, mixing.mix(docs).collect()))
@@ -377,6 +406,52 @@ def test_license_scan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def brute_labels(text):
+    """Labels and best cover by the definition: places of a template found at a start or near it."""
+    w, labels, best = ALNUM.findall(lower(text)), set(), 0.0
+    for x in [t._replace(base=True) for t in licenses.BASE] + licenses.METHOD:
+        v = ALNUM.findall(lower(x.text))
+        drift = 0 if x.base else min(3, len(v) // 4)
+        grams, own = [v[i : i + 3] for i in range(len(v) - 2)], [w[i : i + 3] for i in range(len(w) - 2)]
+        for a in range(-len(v), len(w)):
+            if any(0 <= a + p < len(own) and own[a + p] == g for p, g in enumerate(grams)):
+                cover = sum(any(0 <= a + p + e < len(own) and own[a + p + e] == g for e in range(-drift, drift + 1)) for p, g in enumerate(grams)) / len(grams)
+                if cover >= (1 if x.base else 0.6):
+                    labels.add(x.label)
+                    best = max(best, cover)
+    return ",".join(sorted(labels)), best
+
+
+def test_license_labels_match_brute_force(spark, tmp_path):
+    rnd = random.Random(19)
+    rows = [(1, "All rights reserved."), (2, "All rights reserved. All rights reserved."), (3, "all rights reserved " * 50), (4, "all all rights reserved reserved rights"), (5, ""), (6, None)]
+    for i in range(60):
+        t = rnd.choice(licenses.METHOD).text.split()
+        for _ in range(rnd.randrange(5)):
+            k = rnd.randrange(len(t))
+            rnd.choice([lambda: t.insert(k, "extra"), lambda: t.pop(k), lambda: t.insert(k, t[k])])()
+        rows.append((100 + i, " ".join(["some words before", *t * rnd.choice([1, 1, 2]), "and after"])))
+    docs = docs_of(spark, rows).withColumn("anchor", F.lit("x")).withColumn("template", F.lit(1))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    for d, t in rows:
+        labels, cover = brute_labels(t)
+        assert got[d][0] == labels and got[d][1] == pytest.approx(cover), t
+    assert got[1] == got[2] == got[3] == ("proprietary", 1.0)
+    templates = [licenses.Template("p", "All rights reserved"), licenses.Template("long", " ".join(f"word{i}" for i in range(150)))]
+    text = " ".join(f"word{i}" for i in range(150) if i != 70)
+    found = licenses.spans(docs_of(spark, [(1, "All rights reserved. All rights reserved."), (2, "x y " + text)]), templates)
+    assert sorted((r.doc_id, r.label, r.start, r.end) for r in found.collect()) == [(1, "p", 0, 3), (1, "p", 3, 6), (2, "long", 2, 151)]
+    assert sorted(str((r["doc_id"], r["labels"])) for r in by_sql("op5_license_scan", "documents", docs.drop("anchor", "template"), tmp_path)) == sorted(str((d, v[0])) for d, v in got.items())
+
+
+@pytest.mark.parametrize("most", [0])
+def test_license_templates_beyond_the_broadcast_bound(spark, monkeypatch, most):
+    docs = docs_of(spark, [(1, "x under the MIT license, all rights reserved"), (2, None)])
+    want = sorted(map(str, licenses.scan(docs).collect()))
+    monkeypatch.setattr(licenses, "MOST_BROADCAST", most)
+    assert sorted(map(str, licenses.scan(docs).collect())) == want
+
+
 def by_sql(name, table, df, tmp_path):
     """Rows that the SQL of a query gives for a fixture."""
     df.write.parquet(str(tmp_path / table))
