@@ -2,18 +2,28 @@
 
 Lines are compared lower-cased and trimmed. Equal lines are one line; two lines are near if their edit distance is at
 most what the shorter one's length allows: 1 from 16 characters on, 2 from 40, 3 from 64, 4 from 80, 5 from 112, or
-`edits` at every length. Lines fall into classes of length. The first characters of a line, as many as the shortest of
-its class has, are split into edits + 1 segments, one of which a near line holds unchanged, moved by fewer characters
-than the segment's number. Of a segment, windows at a few offsets are hashed, chosen so that any such shift is the
-difference of two offsets: lines meet where hashes are equal. A line that is just longer than its class's least length
-is hashed for the class below too. Counts of frequent letters, which an edit changes by two at most, thin out candidates
-before they are made. Candidates are verified by banded bit-parallel edit distance. Near lines are joined to classes
-(connected components), and of each class only the first line (smallest doc_id, then line number) stays.
+`edits` at every length. Near lines are joined to classes (connected components), and of each class only the first line
+(smallest doc_id, then line number) stays.
+
+Lines fall into classes of length. As many characters as the shortest of its class has are split into edits + 1
+segments: the first half of them counted from the line's start, the others from its end. Of two near lines some segment
+i of one is whole in the other, with at most i edits before it and edits - i after it, so it is moved by at most that
+many characters, seen from the end it is counted from. Of each segment, windows at a few offsets are hashed, so that any such shift is the
+difference of two offsets: lines meet where hashes are equal. A line just longer than its class's least length
+is hashed for the class below too. Counts of frequent letters, which an edit changes by two at most, thin out candidates.
+Candidates are verified by banded bit-parallel edit distance, after the built-in bounded one.
+
+A bucket of up to SMALL lines gives all its pairs. In a larger one each line is paired with one centre; the bucket's
+lines that are then still in several components are split further by the longer part that the bucket's segment leaves,
+in which a known number of edits is left: it is split into segments of its own, and so on. Pairs inside a component are
+not made. So a group of n near lines costs about n pairs, and n lines that only share a part cost n rows for each level.
 
 Lines shorter than `least` characters are near no other line. Equal lines of `shortest` characters or more are repeats
-(by default `least`; queries and pipeline use 1, so that only empty lines are left alone). Defined results: a null text has one empty line; rows of one
-doc_id are one document, and equal lines at equal places of it don't replace each other; a null doc_id comes after all
-others; extra columns pass through. Lines are told apart by 64-bit hashes, but near lines are verified on their text.
+(by default `least`; queries and pipeline use 1, so that only empty lines are left alone). Defined results: an empty
+table gives no rows; a null text has one empty line; very long lines are compared whole; rows of one doc_id are one
+document, and equal lines at equal places of it don't replace each other; a null doc_id comes after all others; ties go
+to the smaller line number; extra columns pass through, whatever their names, but for names that begin with two
+underscores. Lines are told apart by 64-bit hashes, but near lines are verified on their text.
 """
 
 from __future__ import annotations
@@ -28,19 +38,30 @@ from ._common import DOC_ID, TEXT, written
 LEAST = 16
 #: A line may have one edit for each STEP characters of its class, from 1 to MOST_EDITS of them.
 STEP, MOST_EDITS = 20, 5
-#: Offsets at which windows of segment i + 1 are hashed: every shift up to i is a difference of two of them.
-RULERS = ((0,), (0, 1), (0, 1, 2), (0, 1, 3), (0, 1, 2, 4), (0, 1, 2, 5))
-LETTERS = "etnairs"
-#: Slots of the broadcast filter that finds candidates' texts again; a bound on its rows.
-SLOTS = 1 << 20
+#: Offsets at which windows are hashed: every shift up to the index is a difference of two of them.
+RULERS = ((0,), (0, 1), (0, 1, 2))
+LETTERS = "etnairso"
+#: Buckets of up to so many lines give all their pairs.
+SMALL = 16
+#: Bits of the broadcast filter that finds candidates' texts; a bound on its rows, 64 bits each.
+BITS = 1 << 24
 _LAST_DOC = (1 << 63) - 1
 
 
+def normalised(line: Column) -> Column:
+    """Lower case, without blanks, tabs and carriage returns at either end."""
+    ends = F.lit(False)
+    for c in " \t\r":
+        ends = ends | line.startswith(c) | line.endswith(c)
+    # trimming by a set of characters looks at the whole line, so it is done only where needed
+    return F.lower(F.when(ends, F.trim(line, F.lit(" \t\r"))).otherwise(line))
+
+
 def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, at, line): normalised lines of at least `least` characters."""
     doc = F.coalesce(F.col(DOC_ID).cast("long"), F.lit(_LAST_DOC))
     out = docs.select(doc.alias("doc"), F.posexplode(F.split(F.coalesce(TEXT, F.lit("")), "\n")).alias("at", "line"))
-    return out.select("doc", "at", F.lower(F.trim(F.col("line"), F.lit(" \t\r"))).alias("line")).where(F.length("line") >= least)
+    return out.select("doc", "at", normalised(F.col("line")).alias("line")).where(F.length("line") >= least)
 
 
 def length_class(length: Column) -> Column:
@@ -54,21 +75,6 @@ def allowed(floor: Column, edits: int | None) -> Column:
     return F.lit(edits) if edits else F.least(F.greatest(F.floor(floor / STEP).cast("int"), F.lit(1)), F.lit(MOST_EDITS))
 
 
-def window_keys(line: Column, floor: Column, edits: Column, most: int) -> Column:
-    """Hashes of windows of a line's segments, seen from the class at `floor`; two near lines share one of them.
-
-    The first characters of the shorter line are split into edits + 1 segments. The first i + 1 of them with fewer than
-    i + 1 edits end in one that is whole and moved by at most i in the other line, so two offsets of RULERS[i] meet.
-    """
-    size = F.floor(floor / (edits + 1)).cast("int")
-    keys = []
-    for i, ruler in enumerate(RULERS[: most + 1]):
-        for offset in ruler:
-            key = F.xxhash64(floor, F.lit(i), F.substring(line, i * size + 1 + offset, size - ruler[-1]))
-            keys.append(F.when(edits >= i, key))
-    return F.array(*keys)
-
-
 def _letters(line: Column) -> Column:
     """Counts of LETTERS, modulo 256, in the bytes of a long."""
     out = F.lit(0).cast("long")
@@ -141,39 +147,131 @@ def banded_distance(x: Column, y: Column, edits: int) -> Column:
     return F.aggregate(y, start, run, lambda s: s["d"])
 
 
+def windows(edits: int) -> list[tuple[int, int, int, int]]:
+    """(segment, 1 if counted from the end, offset, what the window is shorter than its segment) for a number of edits."""
+    out = []
+    for i in range(edits + 1):
+        ruler = RULERS[min(i, edits - i)]
+        out += [(i, int(i > edits - i), offset, ruler[-1]) for offset in ruler]
+    return out
+
+
+def keyed(rows: DataFrame, most: int) -> DataFrame:
+    """rows with (key, seg, far, start, width) for each window; two near lines share a key.
+
+    rows has (line, chain, a, b, nominal, edits): the characters from a to b of a line, `nominal` of them at least in
+    each line of the chain, in which near lines are at most `edits` apart.
+    """
+    spec = F.lit(None)
+    for e in range(1, most + 1):
+        spec = F.when(F.col("edits") == e, F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(w, ("seg", "far", "off", "cut")))) for w in windows(e)))).otherwise(spec)
+    out = rows.select("*", F.inline(spec))
+    size = F.floor(F.col("nominal") / (F.col("edits") + 1)).cast("int")
+    width = size - F.col("cut")
+    start = F.when(F.col("far") == 0, F.col("a") + F.col("seg") * size + F.col("off")).otherwise(F.col("b") - (F.col("edits") - F.col("seg")) * size - F.col("off") - width)
+    out = out.select("*", start.alias("start"), width.alias("width"))
+    return out.withColumn("key", F.xxhash64("chain", "seg", F.substring("line", F.col("start") + 1, F.col("width"))))
+
+
+def rest(rows: DataFrame) -> DataFrame:
+    """Rows of keyed() with the longer part that the window's segment leaves as new (chain, a, b, nominal, edits)."""
+    size = F.floor(F.col("nominal") / (F.col("edits") + 1)).cast("int")
+    seg, far = F.col("seg"), F.col("far") == 1
+    left = F.when(far, F.col("nominal") - (F.col("edits") - seg + 1) * size).otherwise(seg * size)
+    right = F.when(far, (F.col("edits") - seg) * size).otherwise(F.col("nominal") - (seg + 1) * size)
+    on = right * (seg + 1) >= left * (F.col("edits") - seg + 1)
+
+    def of(x: Column, y: Column, name: str) -> Column:
+        return F.when(on, x).otherwise(y).cast("int").alias(name)
+
+    return rows.select("id", "component", F.col("key").alias("chain"), of(F.col("start") + F.col("width"), F.col("a"), "a"), of(F.col("b"), F.col("start"), "b"), of(right, left, "nominal"), of(F.col("edits") - seg, seg, "edits"))
+
+
+def _first_rows(own: DataFrame, edits: int | None, least: int) -> DataFrame:
+    """(id, line, chain, a, b, nominal, edits) of lines (id, line), for each class that a line is looked up in."""
+    n = F.length("line")
+    own = own.where(n >= least).select("id", "line", n.alias("b"), length_class(n).cast("int").alias("floor"))
+    below = length_class(F.col("floor") - 1).cast("int")
+    reaches = (F.col("floor") > least) & (F.col("b") - F.col("floor") < allowed(below, edits))
+    seen = own.select("id", "line", "b", F.explode(F.when(reaches, F.array("floor", below)).otherwise(F.array("floor"))).alias("nominal"))
+    return seen.select("id", "line", F.col("nominal").cast("long").alias("chain"), F.lit(0).alias("a"), "b", "nominal", allowed(F.col("nominal"), edits).alias("edits"))
+
+
+def _texts(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line, n, about) of the ids and of some others: a filter of fixed size, so that no text is shuffled."""
+    slot = F.pmod("id", F.lit(BITS))
+    word, bit = F.floor(slot / 64).cast("int"), (slot % 64).cast("int")
+    known = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    found = own.select("id", "line", word.alias("own_word"), bit.alias("bit")).join(F.broadcast(known), F.col("own_word") == F.col("word"))
+    found = found.where(F.call_function("shiftrightunsigned", F.col("bits"), F.col("bit")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return written(found.select("id", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("about")), "line-texts")
+
+
+def _candidates(shared: DataFrame, texts: DataFrame, edits: int | None) -> DataFrame:
+    """(a, b) of rows (key, id, centre, size, component): pairs of different components that letters and lengths allow."""
+    about = texts.select("id", "n", "about")
+    shared = shared.select("key", "id", "centre", "size", "component").distinct().join(about, "id")
+    few = shared.where(F.col("size") <= SMALL)
+    x, y = (few.select("key", *(F.col(c).alias(c + i) for c in ("id", "component", "n", "about"))) for i in "xy")
+    pairs = x.join(y, "key").where("idx < idy").drop("key")
+    many = shared.where((F.col("size") > SMALL) & (F.col("id") != F.col("centre"))).select(*(F.col(c).alias(c + "x") for c in ("id", "component", "n", "about")), "centre")
+    # a centre stands in for its component
+    middle = about.select(F.col("id").alias("idy"), F.lit(None).cast("long").alias("componenty"), F.col("n").alias("ny"), F.col("about").alias("abouty"))
+    star = many.join(middle, F.col("centre") == F.col("idy")).drop("centre")
+    columns = [c + i for i in "xy" for c in ("id", "component", "n", "about")]
+    both = pairs.select(columns).union(star.select(columns)).where("componenty is null or componentx <> componenty")
+    limit = allowed(length_class(F.least("nx", "ny")), edits)
+    close = (F.abs(F.col("nx") - F.col("ny")) <= limit) & (_apart(F.col("aboutx"), F.col("abouty")) <= 2 * limit)
+    return both.where(close).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int | None) -> DataFrame:
+    most = edits or MOST_EDITS
+    x, y = (texts.select(F.col("id").alias(i), F.col("line").alias(n)) for i, n in (("a", "x"), ("b", "y")))
+    limit = allowed(length_class(F.least(F.length("x"), F.length("y"))), edits)
+    apart = F.levenshtein("x", "y", most)
+    near = pairs.join(x, "a").join(y, "b").where((apart >= 0) & (apart <= limit)).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
+    near = written(near, "line-near")
+    limit = allowed(length_class(F.least(F.size("x"), F.size("y"))), edits)
+    return near.where(banded_distance(F.col("x"), F.col("y"), most) <= limit).select("a", "b")
+
+
 def near_pairs(own: DataFrame, edits: int | None, least: int) -> DataFrame:
-    """(a, b): lines that are near; own has (id, line), where lines may repeat."""
+    """(a, b): near lines of own, which has different lines (id, line); enough of them to link all that are near."""
     most = edits or MOST_EDITS
-    if edits is not None and (least // (edits + 1) <= RULERS[edits][-1] or 1 << (least.bit_length() - 3) < edits):
+    if edits is not None and (edits // 2 >= len(RULERS) or least // (edits + 1) <= RULERS[edits // 2][-1] or 1 << (least.bit_length() - 3) < edits):
         raise ValueError(f"{edits} edits need a greater length than {least}")
-    n = F.length("line")
-    own = own.where(n >= least).select("id", "line", n.alias("length"), length_class(n).alias("floor"))
-    below = length_class(F.col("floor") - 1)
-    reaches = (F.col("floor") > least) & (F.col("length") - F.col("floor") < allowed(below, edits))
-    seen = own.select("id", "line", "length", F.explode(F.when(reaches, F.array("floor", below)).otherwise(F.array("floor"))).alias("floor"))
-    seen = seen.withColumn("edits", allowed(F.col("floor"), edits))
-    # the last byte holds the length modulo 32 and the edits
-    about = _letters(F.col("line")).bitwiseOR(F.shiftleft((F.col("length") % 32 * 8 + F.col("edits")).cast("long"), 56))
-    seen = seen.select("id", "line", "floor", "edits", about.alias("about"))
-    keyed = seen.select("about", "id", F.explode(window_keys(F.col("line"), F.col("floor"), F.col("edits"), most)).alias("key")).where("key is not null")
-    # most keys are of one line only, repeated or not: what is left after one shuffle is small
     same = W.partitionBy("key")
-    keyed = keyed.select("*", F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi")).where("lo < hi").select("key", "id", "about").distinct()
-    keyed = written(keyed, "line-keys")
-    x, y = (keyed.select("key", F.col("id").alias(i), F.col("about").alias(f"about_{i}")) for i in "ab")
-    most_apart = F.shiftright("about_a", 56).bitwiseAND(F.lit(7).cast("long"))
-    na, nb = (F.shiftright(f"about_{i}", 59).bitwiseAND(F.lit(31).cast("long")) for i in "ab")
-    close = F.least(F.pmod(na - nb, F.lit(32)), F.pmod(nb - na, F.lit(32))) <= most_apart
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & close & (_apart(F.col("about_a"), F.col("about_b")) <= 2 * most_apart)).select("a", "b").distinct()
-    pairs = written(pairs, "line-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    slot = F.pmod(F.col("id"), F.lit(SLOTS)).alias("slot")
-    found = own.join(F.broadcast(ids.select(slot).distinct()), F.pmod(own["id"], F.lit(SLOTS)) == F.col("slot"), "left_semi")
-    texts = written(found.groupBy("id").agg(F.min("line").alias("line")).join(ids, "id", "left_semi").select("id", F.split("line", "").alias("chars")), "line-texts")
-    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("chars").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("chars").alias("y")), "b")
-    limit = allowed(length_class(F.least(F.size("x"), F.size("y"))), edits)
-    pairs = pairs.where(F.abs(F.size("x") - F.size("y")) <= limit)
-    return pairs.where(banded_distance(F.col("x"), F.col("y"), most) <= limit).select("a", "b")
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        """Rows of the keys that two components share, with the key's centre and size."""
+        rows = rows.select("*", F.min("component").over(same).alias("lo"), F.max("component").over(same).alias("hi"), F.min("id").over(same).alias("centre"), F.count("*").over(same).alias("size"))
+        return rows.where("lo < hi").drop("lo", "hi")
+
+    shared = keyed(_first_rows(own, edits, least), most).select("key", "id")
+    # most keys are of one line only: what is left after one shuffle is small
+    shared = shared.select("*", F.min("id").over(same).alias("centre"), F.max("id").over(same).alias("hi"), F.count("*").over(same).alias("size")).where("centre < hi")
+    shared = written(shared.select("key", "id", "centre", "size", F.col("id").alias("component")).distinct(), "line-keys")
+    texts = _texts(own, shared.select("id").distinct())
+    links = written(_verified(_candidates(shared, texts, edits), texts, edits), "line-links")
+    crowd, known = shared.where(F.col("size") > SMALL).select("key", "id"), None
+    while crowd.head(1):
+        labels = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
+        if known is None:  # the first keys again, with their places in the lines
+            some = texts.join(crowd.select("id").distinct(), "id", "left_semi")
+            known = keyed(_first_rows(some, edits, least), most).drop("line").join(crowd, ["key", "id"], "left_semi")
+        known = known.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("label", "id")).drop("label")
+        mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        rows = written(rest(known.join(mixed, "key", "left_semi")), "line-parts")
+        small = F.floor(F.col("nominal") / (F.col("edits") + 1)) <= F.floor(F.col("edits") / 2)
+        done = rows.where(small).select(F.col("chain").alias("key"), "id", F.lit(None).cast("long").alias("centre"), F.lit(0).alias("size"), "component")
+        split = keyed(rows.where(~small).join(texts.select("id", "line"), "id"), most).drop("line")
+        known = written(bucketed(split.select("id", "component", "key", "seg", "far", "start", "width", "a", "b", "nominal", "edits")), "line-keys")
+        found = _candidates(known.select("key", "id", "centre", "size", "component").union(done), texts, edits)
+        links = written(links.union(_verified(found, texts, edits)), "line-links")
+        known = known.where(F.col("size") > SMALL).drop("centre", "size")
+        crowd = known
+    return links
 
 
 def _place() -> Column:
@@ -184,10 +282,10 @@ def _place() -> Column:
 def dropped(docs: DataFrame, edits: int | None = None, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """(doc, at, class): the lines that repeat an earlier one; class is the hash of the class's representative."""
     found = lines(docs, least if shortest is None else shortest)
-    # all parts are numbers, so that the lines are aggregated by hash before and after the shuffle
-    own = found.groupBy(F.xxhash64("line").alias("id")).agg(F.min(_place().cast("decimal(38,0)")).alias("first"), F.count("*").alias("n"))
-    own = written(own, "lines")
-    near = near_pairs(found.select(F.xxhash64("line").alias("id"), "line"), edits, least)
+    # a line is a key and the rest are numbers, so that lines are aggregated by hash before and after the shuffle
+    own = found.groupBy("line").agg(F.min(_place().cast("decimal(38,0)")).alias("first"), F.count("*").alias("n"))
+    own = written(own.select(F.xxhash64("line").alias("id"), "first", "n", "line"), "lines", "zstd")
+    near = near_pairs(own.select("id", "line"), edits, least)
     labels = connected_components(near, "a", "b").select(F.col("node").alias("id"), "component")
     shared = own.select("id", "n", "first").join(labels, "id", "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", "id"))
     firsts = shared.groupBy("class").agg(F.min("first").alias("first"))
@@ -200,7 +298,8 @@ def report(docs: DataFrame, edits: int | None = None, least: int = LEAST, shorte
     """One row per doc_id: (doc_id, n_lines, n_dropped, dropped), dropped being the line numbers, from 0, joined by commas."""
     gone = dropped(docs, edits, least, shortest).distinct().groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at"))
     doc = F.coalesce(F.col(DOC_ID).cast("long"), F.lit(_LAST_DOC))
-    sizes = docs.select(doc.alias("doc"), F.size(F.split(F.coalesce(TEXT, F.lit("")), "\n")).cast("long").alias("n")).groupBy("doc").agg(F.max("n").alias("n_lines"))
+    own = F.coalesce(TEXT, F.lit(""))
+    sizes = docs.select(doc.alias("doc"), (F.octet_length(own) - F.octet_length(F.replace(own, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n")).groupBy("doc").agg(F.max("n").alias("n_lines"))
     return sizes.join(gone, "doc", "left").select(F.nullif("doc", F.lit(_LAST_DOC)).alias("doc_id"), "n_lines", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("at", ","), F.lit("")).alias("dropped"))
 
 

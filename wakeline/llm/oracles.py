@@ -7,18 +7,20 @@ from . import chat, licenses, linededup
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
-#: Lines one edit apart share their first or their last half; i characters before the edit are equal, and all after it.
+#: Near lines by the definition: every pair whose lengths and letters allow it is measured. DuckDB's levenshtein() counts
+#: bytes, so characters beyond ASCII (26 kinds at most) stand as capitals, which normalised lines don't have.
 OP2 = rf"""
 WITH RECURSIVE place AS (
   SELECT doc_id, pos - 1 AS pos, lower(trim(x, ' ' || chr(9) || chr(13))) AS line
   FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents))),
-own AS (SELECT * FROM place WHERE length(line) >= {linededup.LEAST}),
-kind AS (SELECT DISTINCT line, length(line) AS n FROM own),
-half AS (SELECT line, n, 1 AS part, left(line, n // 2) AS s FROM kind UNION ALL SELECT line, n, 2, right(line, n - n // 2) FROM kind),
-probe AS (SELECT line, n, m, part, CASE part WHEN 1 THEN left(line, m // 2) ELSE right(line, m - m // 2) END AS s
-          FROM kind, (VALUES (1), (2)) AS p(part), (VALUES (0), (1)) AS e(less), LATERAL (SELECT n - less AS m)),
-cand AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n AS na, b.n AS nb FROM half a JOIN probe b ON a.n = b.m AND a.part = b.part AND a.s = b.s WHERE a.line <> b.line),
-near AS (SELECT a, b FROM cand WHERE len(list_filter(range(0, na + 1), lambda i: left(a, i) = left(b, i) AND substr(b, i + 2) = substr(a, CASE WHEN na = nb THEN i + 2 ELSE i + 1 END))) > 0),
+own AS (SELECT * FROM place WHERE length(line) >= 1),
+alien AS (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS cs FROM (SELECT unnest(string_split(line, '')) AS c FROM own) WHERE ord(c) > 127),
+kind AS (SELECT line, length(line) AS n, translate(line, cs, left('ABCDEFGHIJKLMNOPQRSTUVWXYZ', length(cs))) AS code FROM (SELECT DISTINCT line FROM own), alien),
+long AS MATERIALIZED (SELECT *, CASE WHEN n < 40 THEN 1 WHEN n < 64 THEN 2 WHEN n < 80 THEN 3 WHEN n < 112 THEN 4 ELSE 5 END AS most,
+          list_transform(string_split('abcdefghijklmnopqrstuvwxyz .', ''), lambda c: n - length(replace(code, c, ''))) AS v FROM kind WHERE n >= {linededup.LEAST}),
+near AS (SELECT a.line AS a, b.line AS b FROM long a JOIN long b ON b.n BETWEEN a.n AND a.n + 5
+         WHERE a.line <> b.line AND b.n - a.n <= a.most AND list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]))) <= 2 * a.most
+         AND levenshtein(a.code, b.code) <= a.most),
 link AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
 walk AS (SELECT a, b FROM link UNION SELECT walk.a, link.b FROM walk JOIN link ON walk.b = link.a),
 class AS (SELECT line, least(line, coalesce(min(b), line)) AS class FROM kind LEFT JOIN walk ON a = line GROUP BY line),
