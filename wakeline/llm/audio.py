@@ -10,8 +10,8 @@ last one is padded with NaN.
 
 Samples are handled in blocks of BLOCK, so arrays stay bounded for long media; a file's features don't depend on which
 other rows are in the batch. All sums are in double precision: in single precision, quiet bands depend on the order in
-which a machine's linear algebra adds, and equal texts could get different features. Tensors hold the results in single
-precision. A very long text is one value of a binary column, up to Arrow's 2 GB.
+which a machine's linear algebra adds, and equal texts could get different features. Tensors hold the results in half
+precision (log energies within 0.004). A very long text is one value of a binary column, up to Arrow's 2 GB.
 
 Defined results: an empty table gives no rows; a null text is empty; an empty payload is one unit of padding; media
 shorter than a frame is one frame padded with silence; repeated rows have equal values; extra columns play no part.
@@ -164,7 +164,7 @@ def features(media: bytes) -> Features:
 
 def tensor_bytes(mel: np.ndarray) -> bytes:
     """An Arrow stream of one fixed-shape tensor [TENSOR_FRAMES, BANDS]; missing frames are NaN."""
-    full = np.full((1, TENSOR_FRAMES, BANDS), np.nan, np.float32)
+    full = np.full((1, TENSOR_FRAMES, BANDS), np.nan, np.float16)
     full[0, : len(mel)] = mel
     column = pa.FixedShapeTensorArray.from_numpy_ndarray(full)
     sink = pa.BufferOutputStream()
@@ -227,8 +227,8 @@ def extract(stored: DataFrame) -> DataFrame:
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The media table and the feature table, both written to the shared folder and read back."""
-    stored = written(media(docs), "media")
-    return stored, written(extract(stored), "features")
+    stored = written(media(docs), "media", "zstd")
+    return stored, written(extract(stored), "features", "zstd")
 
 
 def describe(docs: DataFrame) -> DataFrame:
