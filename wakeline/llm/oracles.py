@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, linededup
+from . import licenses, linededup
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -62,23 +62,38 @@ OP5 = license_sql()
 
 _MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 
-OP7 = rf"""
-WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS w FROM conversations),
-l AS (SELECT r, conv_id, turn, i, length(regexp_replace(regexp_extract(x, '{_MARKS}', 1), '[^>]', '', 'g')) AS level,
+_CHAT = rf"""
+m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS w, md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS d FROM chat),
+l AS (SELECT r, conv_id, turn, d, i, length(regexp_replace(regexp_extract(x, '{_MARKS}', 1), '[^>]', '', 'g')) AS level,
         trim(regexp_replace(lower(regexp_replace(x, '{_MARKS}', '')), '\s+', ' ', 'g')) AS t
-      FROM (SELECT r, conv_id, turn, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM m)),
-q AS (SELECT * FROM l WHERE level > 0 AND length(t) >= {chat.LEAST_CHARS} AND conv_id IS NOT NULL AND turn IS NOT NULL),
-s AS (SELECT q.r, q.i, q.conv_id, q.turn, q.level, max(p.turn) AS original
-      FROM q LEFT JOIN l p ON p.level = 0 AND p.conv_id = q.conv_id AND p.t = q.t AND p.turn < q.turn GROUP BY ALL),
-v AS (SELECT r, conv_id, turn, original, count(*) FILTER (level = 1) AS votes, count(*) AS linked FROM s WHERE original IS NOT NULL GROUP BY ALL),
-a AS (SELECT r, conv_id, turn, max(CASE WHEN votes > 0 THEN {{'v': votes, 'o': original}} END) AS best, sum(linked) AS n_linked FROM v GROUP BY r, conv_id, turn),
-up AS (SELECT conv_id, turn, max(best.o) AS above FROM a WHERE best IS NOT NULL GROUP BY conv_id, turn),
-walk AS (SELECT conv_id, turn, above FROM up UNION SELECT w.conv_id, w.turn, up.above FROM walk w JOIN up ON up.conv_id = w.conv_id AND up.turn = w.above),
-root AS (SELECT conv_id, turn, min(above) AS thread FROM walk GROUP BY conv_id, turn),
-n AS (SELECT r, count(*) AS n_quoted FROM q GROUP BY r),
-plain AS (SELECT r, conv_id, turn, role, regexp_replace(array_to_string(list_filter(w, lambda x, i: NOT regexp_matches(x, '{_MARKS}')
-            AND NOT (regexp_matches(x, '(?i)\b(wrote|writes|said|schrieb|a écrit|escribió)\b.{{0,40}}:\s*$') AND coalesce(regexp_matches(w[i + 1], '{_MARKS}'), false))), chr(10)), '^\s+|\s+$', '', 'g') AS text FROM m)
-SELECT p.conv_id, p.turn, role, a.best.o AS reply_to, coalesce(thread, p.turn) AS thread, CAST(coalesce(n_quoted, 0) AS BIGINT) AS n_quoted,
-       CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, text, '<|' || coalesce(role, 'user') || '|>' || chr(10) || text || chr(10) || '<|end|>' AS formatted
-FROM plain p LEFT JOIN n USING (r) LEFT JOIN a USING (r) LEFT JOIN root ON root.conv_id = p.conv_id AND root.turn = p.turn
+      FROM (SELECT r, conv_id, turn, d, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+b AS (SELECT *, sum(CASE WHEN t = '' OR before = '' OR above <> level THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS p
+      FROM (SELECT *, lag(t) OVER (PARTITION BY r ORDER BY i) AS before, lag(level) OVER (PARTITION BY r ORDER BY i) AS above FROM l)),
+u AS (SELECT r, conv_id, turn, d, level, p, string_agg(t, ' ' ORDER BY i) AS t FROM b WHERE t <> '' GROUP BY ALL),
+whole AS (SELECT q.r, q.p, max({{'turn': o.turn, 'd': o.d, 'r': o.r}}) AS original FROM u q JOIN u o ON o.level = 0 AND o.conv_id = q.conv_id AND o.t = q.t AND o.turn < q.turn WHERE q.level > 0 GROUP BY q.r, q.p),
+line AS (SELECT q.r, q.i, max({{'turn': o.turn, 'd': o.d, 'r': o.r}}) AS original FROM b q JOIN b o ON o.level = 0 AND o.conv_id = q.conv_id AND o.t = q.t AND o.turn < q.turn WHERE q.level > 0 AND q.t <> '' GROUP BY q.r, q.i),
+s AS (SELECT q.r, q.level, coalesce(whole.original, line.original) AS o FROM b q LEFT JOIN whole ON whole.r = q.r AND whole.p = q.p LEFT JOIN line ON line.r = q.r AND line.i = q.i WHERE q.level > 0 AND q.t <> ''),
+v AS (SELECT r, o, count(*) FILTER (level = 1) AS votes, count(*) AS n FROM s GROUP BY r, o),
+a AS (SELECT r, max(CASE WHEN votes > 0 AND o IS NOT NULL THEN {{'v': votes, 'o': o}} END).o AS best, sum(n) AS n_quoted, coalesce(sum(n) FILTER (o IS NOT NULL), 0) AS n_linked FROM v GROUP BY r),
+walk AS (SELECT r, best.r AS above, 1 AS depth FROM a WHERE best IS NOT NULL UNION ALL SELECT w.r, a.best.r, depth + 1 FROM walk w JOIN a ON a.r = w.above WHERE a.best IS NOT NULL),
+root AS (SELECT r, arg_max(above, depth) AS root FROM walk GROUP BY r),
+plain AS (SELECT r, conv_id, turn, role, d, regexp_replace(array_to_string(list_filter(w, lambda x, i: NOT regexp_matches(x, '{_MARKS}')
+            AND NOT (regexp_matches(x, '(?i)\b(wrote|writes|said|schrieb|a écrit|escribió)\b.{{0,40}}:\s*$') AND coalesce(regexp_matches(w[i + 1], '{_MARKS}'), false))), chr(10)), '^\s+|\s+$', '', 'g') AS text FROM m),
+threaded AS (SELECT p.*, coalesce(root.root, p.r) AS root FROM plain p LEFT JOIN root USING (r))
+SELECT t.conv_id, t.turn, t.role, a.best.turn AS reply_to, f.turn AS thread,
+       CASE WHEN t.conv_id IS NULL OR t.turn IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY t.root ORDER BY t.turn, t.d, t.r) - 1 END AS place,
+       CAST(coalesce(n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, t.text, '<|' || coalesce(t.role, 'user') || '|>' || chr(10) || t.text || chr(10) || '<|end|>' AS formatted
+FROM threaded t JOIN m f ON f.r = t.root LEFT JOIN a ON a.r = t.r
 """
+
+OP7 = f"WITH RECURSIVE chat AS (SELECT * FROM conversations), {_CHAT}"
+
+#: The same over conversations whose messages quote those before them.
+QUOTED = f"""
+WITH RECURSIVE before AS (SELECT conv_id, turn + 1 AS turn, max(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn),
+chat AS (
+  SELECT c.conv_id, c.turn, c.role, coalesce(CASE c.turn % 4
+      WHEN 1 THEN '> ' || replace(replace(p.text, chr(10), chr(10) || '> '), '. ', '.' || chr(10) || '> ')
+      WHEN 2 THEN coalesce('>> ' || replace(g.text, chr(10), chr(10) || '>> ') || chr(10), '') || '> ' || replace(p.text, chr(10), chr(10) || '> ')
+      WHEN 3 THEN '> ' || string_split(p.text, chr(10))[-1] END || chr(10) || coalesce(c.text, ''), c.text) AS text
+  FROM conversations c LEFT JOIN before p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN before g ON g.conv_id = c.conv_id AND g.turn = c.turn - 1), {_CHAT}"""

@@ -10,7 +10,7 @@ from . import audio, chat, decontaminate, licenses, linededup, mixing, neardup,
 from ._common import table
 from .oracles import ALNUM as _ALNUM
 from .oracles import LOWER as _LOWER
-from .oracles import OP2, OP5, OP7
+from .oracles import OP2, OP5, OP7, QUOTED
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(table(spark, sf_dir, "conversations"))
 
 
+def chat_format_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_chat_format over conversations made to quote: the test tables themselves quote nothing."""
+    return chat.format_chat(chat.with_quotations(table(spark, sf_dir, "conversations")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_toxicity, op4_mixing, op5_license_scan, op6_warc, op7_chat_format, op8_token_counts, op9_minhash, op10_audio)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_toxicity, op4_mixing, op5_license_scan, op6_warc, op7_chat_format, op8_token_counts, op9_minhash, op10_audio, chat_format_quoted)}
 
 
 OP1 = rf"""
@@ -101,4 +106,4 @@ FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op5_license_scan": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "op9_minhash": OP9}
+    return {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op5_license_scan": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "chat_format_quoted": QUOTED, "op9_minhash": OP9}
