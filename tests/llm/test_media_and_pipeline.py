@@ -84,7 +84,7 @@ def test_audio_round_trip(spark):
     for r in kept.collect():
         mel = audio.features(audio.encode_wav(audio.padded((dict(rows)[r.doc_id] or "").encode()))).mel
         joined = np.concatenate([audio.read_tensor(bytes(x.tensor))[: x.n_frames] for x in r.tensors])
-        assert np.array_equal(joined, mel.astype(np.float32)) and r.tensors[0].start_s == 0 and all(a.end_s > b.start_s for a, b in zip(r.tensors, r.tensors[1:]))
+        assert np.array_equal(joined, mel.astype(np.float16)) and r.tensors[0].start_s == 0 and all(a.end_s > b.start_s for a, b in zip(r.tensors, r.tensors[1:]))
     assert audio.describe(docs.limit(0)).count() == 0
 
 
@@ -137,7 +137,7 @@ def test_audio_features_match_the_definition(spark):
         assert np.allclose(f.mel, mel, atol=1e-6) and np.allclose(np.array(f.spans).reshape(-1), np.array(spans).reshape(-1))
         said = dict(x.split("=") for x in got[i].split(";"))
         assert int(said["frames"]) == len(mel) and int(said["segments"]) == len(spans)
-        assert np.allclose([float(v) for v in said["mel"].split(",")], mel.mean(0), atol=0.006)
+        assert np.allclose([float(v) for v in said["mel"].split(",")], mel.mean(0), atol=0.01)
         changed = audio.features(audio.encode_wav(payload[:-24] + bytes(b ^ 3 for b in payload[-24:]))).mel
         assert changed.shape == f.mel.shape and not np.allclose(changed[-1], f.mel[-1])
 
@@ -149,6 +149,7 @@ def test_features_do_not_depend_on_summation_order():
     power_order = np.random.default_rng(3).permutation(audio.FRAME // 2 + 1)
     _, samples = audio.decode_wav(media)
     y = np.concatenate(list(audio.resample(np.frombuffer(samples, np.uint8))))
+    y = np.concatenate([y, np.zeros((len(ref) - 1) * audio.HOP + audio.FRAME - len(y))])
     frames = np.lib.stride_tricks.sliding_window_view(y, audio.FRAME)[:: audio.HOP] * audio._WINDOW
     power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
     assert np.allclose(np.log(power[:, power_order] @ audio._MEL[power_order] + 1e-6), ref, rtol=0, atol=1e-9)
@@ -173,7 +174,7 @@ def test_hysteresis():
 def test_pipeline_matches_brute_force(spark, tmp_path):
     import corpus_pipeline as P
 
-    from .test_text_operators import brute_hits, brute_near, distance
+    from .test_text_operators import brute_hits, brute_near, distance, near_limit
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -181,9 +182,9 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     columns = docs.columns
     keep = {r.doc_id for r in toxicity.score(docs, labels).collect() if not r.predicted}
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in keep)
-    # lines, near by one edit at most
+    # equal lines of any length but 0, and near ones by their length
     places = [(d, j, line.strip(" \t\r").lower()) for d, t in rows for j, line in enumerate(t.split("\n"))]
-    places = [p for p in places if len(p[2]) >= 16]
+    places = [p for p in places if p[2]]
     kinds = sorted({p[2] for p in places})
     root = {k: k for k in kinds}
 
@@ -192,15 +193,15 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
             x = root[x]
         return x
 
-    by_part = {}
-    for x in kinds:  # lines one edit apart share a half
-        for h in (x[: len(x) // 2 - 1], x[-(len(x) // 2 - 1) :]):
-            by_part.setdefault(h, []).append(x)
-    for group in by_part.values():
-        for i, x in enumerate(group):
-            for y in group[:i]:
-                if abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1:
-                    root[find(x)] = find(y)
+    long = sorted((x for x in kinds if len(x) >= 16), key=len)
+    counts = np.array([[x.count(c) for c in "abcdefghijklmnopqrstuvwxyz .,"] for x in long])
+    sizes = np.array([len(x) for x in long])
+    for i, x in enumerate(long):
+        most = near_limit(len(x))
+        top = int(np.searchsorted(sizes, len(x) + most, "right"))
+        for k in np.flatnonzero(np.abs(counts[i + 1 : top] - counts[i]).sum(1) <= 2 * most):
+            if distance(x, long[i + 1 + k]) <= most:
+                root[find(x)] = find(long[i + 1 + k])
     first, gone = {}, {}
     for d, j, line in places:
         if first.setdefault(find(line), (d, j)) != (d, j):
@@ -237,5 +238,6 @@ def test_queries_match_sql(spark, name):
 
 
 def test_names(spark):
-    assert [n for n in queries.queries()] == sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
+    own = [n for n in queries.queries() if n.startswith("op")]
+    assert own == sorted(own, key=lambda n: int(n[2:].split("_")[0])) and len(own) == 10
     assert decontaminate.SIZE == 10 and neardup.HASHES == 125

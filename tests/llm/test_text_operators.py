@@ -275,6 +275,61 @@ def test_line_dedup_allows_more_edits_in_longer_lines(spark):
     assert {r.doc_id: r.dropped for r in linededup.report(docs).collect()} == {1: "", 2: "0", 3: "", 4: ""}
 
 
+def linked(pairs, kinds):
+    root = {x: x for x in kinds}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[find(x)] = find(y)
+    groups = {}
+    for x in kinds:
+        groups.setdefault(find(x), set()).add(x)
+    return sorted(sorted(g) for g in groups.values())
+
+
+def test_crowded_line_buckets_link_all_that_is_near(spark, monkeypatch):
+    """Buckets of more than two lines go by centres and parts; the classes stay those of all pairs."""
+    monkeypatch.setattr(linededup, "SMALL", 2)
+    rnd = random.Random(23)
+    kinds = set()
+    for n in (16, 24, 45, 70, 120):
+        head = "".join(rnd.choice("abcdefgh ") for _ in range(n)).strip() + "."
+        for _ in range(14):  # lines that share a part with many, and some of them near each other
+            tail = "".join(rnd.choice("0123456789") for _ in range(n // 2))
+            for line in (head + tail, tail + head, head[: n // 2] + tail + head[n // 2 :]):
+                kinds |= {line, edited(rnd, line, rnd.randint(1, 5))}
+    kinds = sorted(x for x in kinds if len(x) >= linededup.LEAST and x == x.strip())
+    want = [(x, y) for i, x in enumerate(kinds) for y in kinds[:i] if abs(len(x) - len(y)) <= 5 and distance(x, y) <= near_limit(min(len(x), len(y)))]
+    own = spark.createDataFrame(list(enumerate(kinds)), "id long, line string")
+    got = [(kinds[r.a], kinds[r.b]) for r in linededup.near_pairs(own, None, linededup.LEAST).collect()]
+    assert {frozenset(p) for p in got} <= {frozenset(p) for p in want}
+    assert linked(got, kinds) == linked(want, kinds) and len(linked(want, kinds)) < len(kinds)
+
+
+def test_numbered_lines_make_candidates_in_proportion(spark, monkeypatch):
+    made = []
+    held = linededup._candidates
+
+    def counted(*args):
+        found = held(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(linededup, "_candidates", counted)
+    totals = []
+    for n in (500, 2000):
+        made.clear()
+        rows = [(i, f"entry of the ledger no. {i * 7919:012d}") for i in range(n)]
+        got = linededup.near_pairs(spark.createDataFrame(rows, "id long, line string"), None, linededup.LEAST).collect()
+        assert all(distance(rows[r.a][1], rows[r.b][1]) == 1 for r in got)
+        totals.append(sum(made))
+    assert totals[1] < 40 * 2000 and totals[1] < 6 * totals[0] + 2000
+
+
 def test_registered_line_dedup_drops_equal_short_lines(spark, tmp_path):
     docs_of(spark, [(1, "Yes\n\nNo\n\nyet"), (2, " yes\nno!\nx"), (3, "X\n\nYES")]).write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.queries()["op2_line_dedup"](spark, str(tmp_path)).collect()
@@ -489,12 +544,34 @@ def test_chat_links_quotations(spark, tmp_path):
         assert by[4, t].reply_to == t - 100 and by[4, t].thread == 0
     assert by[1, 1].formatted == "<|assistant|>\nUse the sort method of the list.\n<|end|>"
     names = sorted(out[0].asDict())
-    want = by_sql("op7_chat_format", "conversations", df.where("turn <> 5").drop("row", "thread"), tmp_path)
-    assert sorted(str([r[n] for n in names]) for r in out if r.turn != 5) == sorted(str([r[n] for n in names]) for r in want)
+    want = by_sql("op7_chat_format", "conversations", df.drop("row", "thread"), tmp_path)
+    assert sorted(str([r[n] for n in names]) for r in out) == sorted(str([r[n] for n in names]) for r in want)
     plain = chat.format_chat(df.where("conv_id = 1 and turn < 2")).collect()
     assert {r.reply_to for r in plain} == {None} and chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_passages_short_lines_and_threads_by_message(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_MESSAGES", 2)
+    rows = [
+        (1, 0, "user", "The first point is long\nand goes on here.\n\nYes"),
+        (1, 1, "assistant", "> the first point\n> is long and goes\n> on here.\nAgreed."),
+        (1, 2, "user", "> yes\nFine"),
+        (1, 2, "assistant", "> Agreed.\nAlso fine"),
+        (1, 3, "user", ">> yes\n> Also fine\nThanks"),
+        (1, 3, "user", "A question of its own"),
+        (1, 4, "user", "> Fine\n" + "long " * 20_000),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    by = {r.text[:20]: r for r in chat.format_chat(df).collect()}
+    assert [(by[k].reply_to, by[k].thread, by[k].place) for k in ("Agreed.", "Fine", "Also fine", "Thanks", "A question of its ow")] == [(0, 0, 1), (0, 0, by["Fine"].place), (1, 0, by["Also fine"].place), (2, 0, 4), (None, 3, 0)]
+    assert {by["Fine"].place, by["Also fine"].place} == {2, 3} and by["Thanks"].n_linked == 2 and by["Agreed."].n_linked == 3
+    assert by["long " * 4].reply_to == 2
+    parts = chat.chats(df).collect()
+    assert sorted((r.thread, r.part, len(r.messages)) for r in parts) == [(0, 0, 2), (0, 1, 2), (0, 2, 2), (3, 0, 1)]
+    first = next(r for r in parts if r.thread == 0 and r.part == 0)
+    assert first.chat == "<|user|>\nThe first point is long\nand goes on here.\n\nYes\n<|end|>\n<|assistant|>\nAgreed.\n<|end|>"
+
+
 @pytest.mark.parametrize("rule", tokens.RULES)
 def test_token_attribution(spark, rule):
     rnd = random.Random(15)
