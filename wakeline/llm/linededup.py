@@ -14,9 +14,10 @@ is hashed for the class below too. Counts of frequent letters, which an edit cha
 Candidates are verified by banded bit-parallel edit distance, after the built-in bounded one.
 
 A bucket of up to SMALL lines gives all its pairs. In a larger one each line is paired with one centre; the bucket's
-lines that are then still in several components are split further by the longer part that the bucket's segment leaves,
-in which a known number of edits is left: it is split into segments of its own, and so on. Pairs inside a component are
-not made. So a group of n near lines costs about n pairs, and n lines that only share a part cost n rows for each level.
+lines that are then still in several components are split further by what the bucket's segment leaves before or after
+it, whichever has more different values: a known number of edits is left there, so it is split into segments of its own,
+and so on. Pairs inside a component are not made, nor pairs that share the first segment of a split and so meet in its bucket.
+So a group of n near lines costs about n pairs, and n lines that only share a part cost some rows for each level.
 
 Lines shorter than `least` characters are near no other line. Equal lines of `shortest` characters or more are repeats
 (by default `least`; queries and pipeline use 1, so that only empty lines are left alone). Defined results: an empty
@@ -42,7 +43,7 @@ STEP, MOST_EDITS = 20, 5
 RULERS = ((0,), (0, 1), (0, 1, 2))
 LETTERS = "etnairso"
 #: Buckets of up to so many lines give all their pairs.
-SMALL = 16
+SMALL = 256
 #: Bits of the broadcast filter that finds candidates' texts; a bound on its rows, 64 bits each.
 BITS = 1 << 24
 _LAST_DOC = (1 << 63) - 1
@@ -157,7 +158,7 @@ def windows(edits: int) -> list[tuple[int, int, int, int]]:
 
 
 def keyed(rows: DataFrame, most: int) -> DataFrame:
-    """rows with (key, seg, far, start, width) for each window; two near lines share a key.
+    """rows with (key, seg, far, start, width, head) for each window; two near lines share a key. head is the first segment's key.
 
     rows has (line, chain, a, b, nominal, edits): the characters from a to b of a line, `nominal` of them at least in
     each line of the chain, in which near lines are at most `edits` apart.
@@ -170,21 +171,30 @@ def keyed(rows: DataFrame, most: int) -> DataFrame:
     width = size - F.col("cut")
     start = F.when(F.col("far") == 0, F.col("a") + F.col("seg") * size + F.col("off")).otherwise(F.col("b") - (F.col("edits") - F.col("seg")) * size - F.col("off") - width)
     out = out.select("*", start.alias("start"), width.alias("width"))
-    return out.withColumn("key", F.xxhash64("chain", "seg", F.substring("line", F.col("start") + 1, F.col("width"))))
+    head = F.xxhash64("chain", F.lit(0), F.substring("line", F.col("a") + 1, size))
+    return out.select("*", F.xxhash64("chain", "seg", F.substring("line", F.col("start") + 1, F.col("width"))).alias("key"), head.alias("head"))
 
 
 def rest(rows: DataFrame) -> DataFrame:
-    """Rows of keyed() with the longer part that the window's segment leaves as new (chain, a, b, nominal, edits)."""
+    """Rows of keyed() with what is before or after the window as new (chain, a, b, nominal, edits), the same side for all of a key.
+
+    A side that can't be split any more is taken only if the other can't be either; such rows have nominal 0.
+    """
     size = F.floor(F.col("nominal") / (F.col("edits") + 1)).cast("int")
     seg, far = F.col("seg"), F.col("far") == 1
     left = F.when(far, F.col("nominal") - (F.col("edits") - seg + 1) * size).otherwise(seg * size)
     right = F.when(far, (F.col("edits") - seg) * size).otherwise(F.col("nominal") - (seg + 1) * size)
-    on = right * (seg + 1) >= left * (F.col("edits") - seg + 1)
 
-    def of(x: Column, y: Column, name: str) -> Column:
-        return F.when(on, x).otherwise(y).cast("int").alias(name)
+    def side(a: Column, b: Column, nominal: Column, edits: Column) -> Column:
+        fits = F.floor(nominal / (edits + 1)) > F.floor(edits / 2)
+        return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.when(fits & (edits > 0), nominal).otherwise(0).cast("int").alias("nominal"), edits.cast("int").alias("edits"))
 
-    return rows.select("id", "component", F.col("key").alias("chain"), of(F.col("start") + F.col("width"), F.col("a"), "a"), of(F.col("b"), F.col("start"), "b"), of(right, left, "nominal"), of(F.col("edits") - seg, seg, "edits"))
+    after = F.col("start") + F.col("width")
+    both = rows.select("id", "component", F.col("key").alias("chain"), "line", side(F.col("a"), F.col("start"), left, seg).alias("l"), side(after, F.col("b"), right, F.col("edits") - seg).alias("r"))
+    kinds = both.groupBy("chain").agg(*(F.approx_count_distinct(F.xxhash64(F.substring("line", F.col(f"{x}.a") + 1, F.col(f"{x}.b") - F.col(f"{x}.a")))).alias(f"kinds_{x}") for x in "lr"))
+    both = both.drop("line").join(kinds, "chain")
+    on = F.when(F.col("l.nominal") == 0, F.lit(True)).when(F.col("r.nominal") == 0, F.lit(False)).otherwise(F.col("kinds_r") >= F.col("kinds_l"))
+    return both.select("id", "component", "chain", F.inline(F.array(F.when(on, F.col("r")).otherwise(F.col("l")))))
 
 
 def _first_rows(own: DataFrame, edits: int | None, least: int) -> DataFrame:
@@ -208,12 +218,13 @@ def _texts(own: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _candidates(shared: DataFrame, texts: DataFrame, edits: int | None) -> DataFrame:
-    """(a, b) of rows (key, id, centre, size, component): pairs of different components that letters and lengths allow."""
+    """(a, b) of rows (key, id, centre, size, component, seg, head): pairs of different components, and of different heads
+    but for those of segment 0, that letters and lengths allow."""
     about = texts.select("id", "n", "about")
-    shared = shared.select("key", "id", "centre", "size", "component").distinct().join(about, "id")
+    shared = shared.select("key", "id", "centre", "size", "component", "seg", "head").distinct().join(about, "id")
     few = shared.where(F.col("size") <= SMALL)
-    x, y = (few.select("key", *(F.col(c).alias(c + i) for c in ("id", "component", "n", "about"))) for i in "xy")
-    pairs = x.join(y, "key").where("idx < idy").drop("key")
+    x, y = (few.select("key", *(F.col(c).alias(c + i) for c in ("id", "component", "n", "about", "seg", "head"))) for i in "xy")
+    pairs = x.join(y, "key").where("idx < idy and (segx = 0 or headx <> heady)")
     many = shared.where((F.col("size") > SMALL) & (F.col("id") != F.col("centre"))).select(*(F.col(c).alias(c + "x") for c in ("id", "component", "n", "about")), "centre")
     # a centre stands in for its component
     middle = about.select(F.col("id").alias("idy"), F.lit(None).cast("long").alias("componenty"), F.col("n").alias("ny"), F.col("about").alias("abouty"))
@@ -244,30 +255,32 @@ def near_pairs(own: DataFrame, edits: int | None, least: int) -> DataFrame:
     same = W.partitionBy("key")
 
     def bucketed(rows: DataFrame) -> DataFrame:
-        """Rows of the keys that two components share, with the key's centre and size."""
-        rows = rows.select("*", F.min("component").over(same).alias("lo"), F.max("component").over(same).alias("hi"), F.min("id").over(same).alias("centre"), F.count("*").over(same).alias("size"))
-        return rows.where("lo < hi").drop("lo", "hi")
+        """Rows of the keys that several components and, but for segment 0, heads share, with the key's centre and size."""
+        for c in ("component", "head"):
+            rows = rows.select("*", F.min(c).over(same).alias("lo_" + c), F.max(c).over(same).alias("hi_" + c))
+        rows = rows.select("*", F.min("id").over(same).alias("centre"), F.count("*").over(same).alias("size"))
+        return rows.where("lo_component < hi_component and (seg = 0 or lo_head < hi_head)").drop("lo_component", "hi_component", "lo_head", "hi_head")
 
     shared = keyed(_first_rows(own, edits, least), most).select("key", "id")
     # most keys are of one line only: what is left after one shuffle is small
     shared = shared.select("*", F.min("id").over(same).alias("centre"), F.max("id").over(same).alias("hi"), F.count("*").over(same).alias("size")).where("centre < hi")
-    shared = written(shared.select("key", "id", "centre", "size", F.col("id").alias("component")).distinct(), "line-keys")
+    none = F.lit(0).alias("seg"), F.lit(0).cast("long").alias("head")
+    shared = written(shared.select("key", "id", "centre", "size", F.col("id").alias("component"), *none).distinct(), "line-keys")
     texts = _texts(own, shared.select("id").distinct())
     links = written(_verified(_candidates(shared, texts, edits), texts, edits), "line-links")
     crowd, known = shared.where(F.col("size") > SMALL).select("key", "id"), None
     while crowd.head(1):
         labels = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
+        lines_of = texts.select("id", "line")
         if known is None:  # the first keys again, with their places in the lines
-            some = texts.join(crowd.select("id").distinct(), "id", "left_semi")
-            known = keyed(_first_rows(some, edits, least), most).drop("line").join(crowd, ["key", "id"], "left_semi")
-        known = known.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("label", "id")).drop("label")
-        mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        rows = written(rest(known.join(mixed, "key", "left_semi")), "line-parts")
-        small = F.floor(F.col("nominal") / (F.col("edits") + 1)) <= F.floor(F.col("edits") / 2)
-        done = rows.where(small).select(F.col("chain").alias("key"), "id", F.lit(None).cast("long").alias("centre"), F.lit(0).alias("size"), "component")
-        split = keyed(rows.where(~small).join(texts.select("id", "line"), "id"), most).drop("line")
-        known = written(bucketed(split.select("id", "component", "key", "seg", "far", "start", "width", "a", "b", "nominal", "edits")), "line-keys")
-        found = _candidates(known.select("key", "id", "centre", "size", "component").union(done), texts, edits)
+            known = keyed(_first_rows(lines_of.join(crowd.select("id").distinct(), "id", "left_semi"), edits, least), most).join(crowd, ["key", "id"], "left_semi")
+        else:
+            known = known.drop("component").join(lines_of, "id")
+        known = bucketed(known.join(labels, "id", "left").withColumn("component", F.coalesce("label", "id"))).drop("centre", "size")
+        rows = written(rest(known), "line-parts")
+        done = rows.where("nominal = 0").select(F.col("chain").alias("key"), "id", F.lit(None).cast("long").alias("centre"), F.lit(0).cast("long").alias("size"), "component", *none)
+        known = written(bucketed(keyed(rows.where("nominal > 0").join(lines_of, "id"), most)).select("id", "component", "key", "seg", "far", "start", "width", "a", "b", "nominal", "edits", "head", "centre", "size"), "line-keys")
+        found = _candidates(known.select(shared.columns).union(done.select(shared.columns)), texts, edits)
         links = written(links.union(_verified(found, texts, edits)), "line-links")
         known = known.where(F.col("size") > SMALL).drop("centre", "size")
         crowd = known
