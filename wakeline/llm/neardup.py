@@ -14,8 +14,10 @@ not empty, text is one shingle. Sets are compared as sets of 64-bit shingle hash
 
 The bands find a pair of similarity s with probability 1 - (1 - s**rows)**bands: 1 - 4e-7 at 0.85, 1 - 5e-5 at 0.8.
 
-Defined results: a null or wordless text has size 0 and is linked with nothing; repeated rows have equal sets and are
-linked; extra columns play no part. Links are neither capped nor sampled.
+Defined results: an empty table gives no rows; a null or wordless text has size 0 and is linked with nothing; repeated rows
+have equal sets and are linked; a very long text is one set of all its shingles; where rows are removed, the one of smallest doc_id stays and,
+on a tie, the first as read, a null doc_id coming last; extra columns play no part, whatever their names, but for
+names that begin with two underscores. Links are neither capped nor sampled.
 """
 
 from __future__ import annotations
@@ -98,21 +100,22 @@ def _bands(signatures: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, node, bands, signature); bands and signature are empty for an empty set."""
+    """(doc_id, row, n, node, bands, signature) of rows (doc_id, __row, text); bands and signature are empty for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
+            ids, at = b.column(0), b.column(1)
             for first, rows, shingles, offsets in _sets(text_column(b, TEXT), k):
                 sizes = np.diff(offsets)
                 sig = _signatures(shingles, offsets)
                 raw, bands = iter(sig), iter(_bands(sig))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, rows), pa.array(sizes), pa.array(_nodes(shingles, offsets)), pa.array([next(bands) if n else [] for n in sizes], pa.list_(pa.int64())), pa.array([next(raw).tobytes() if n else b"" for n in sizes], pa.binary())],
-                    names=["doc_id", "n", "node", "bands", "signature"],
+                    [ids.slice(first, rows), at.slice(first, rows), pa.array(sizes), pa.array(_nodes(shingles, offsets)), pa.array([next(bands) if n else [] for n in sizes], pa.list_(pa.int64())), pa.array([next(raw).tobytes() if n else b"" for n in sizes], pa.binary())],
+                    names=["doc_id", "row", "n", "node", "bands", "signature"],
                 )
 
-    return docs.select(F.col(DOC_ID).cast("long").alias(DOC_ID), TEXT).mapInArrow(run, "doc_id long, n long, node long, bands array<long>, signature binary")
+    row = F.col("__row") if "__row" in docs.columns else F.lit(0)
+    return docs.select(F.col(DOC_ID).cast("long").alias(DOC_ID), row.cast("long").alias("__row"), TEXT).mapInArrow(run, "doc_id long, row long, n long, node long, bands array<long>, signature binary")
 
 
 def _bits(nodes: DataFrame) -> np.ndarray:
@@ -274,8 +277,8 @@ def _by_prefix(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "shingle").where(larger & fits & enough & (F.col("componenta") != F.col("componentb")) & ~F.arrays_overlap("beforea", "beforeb")).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs; kept is true for the smallest id of a component."""
+def _classes(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """(doc_id, row, n, class): the component of each row of docs, null for an empty set."""
     rows = written(signatures(docs, k), "signatures")
     full = rows.where("n > 0")
     banded = full.select("node", F.explode("bands").alias("band"))
@@ -298,13 +301,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     more = links(_across(held.select("band", "node"), labels, sigs.select("node", "n"), sets, percent))
     if more.head(1):
         labels = connected_components(first.union(more), "a", "b")
-    members = rows.join(labels, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
-    least = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = members.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(labels, "node", "left").select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
+
+
+def _with_first(members: DataFrame) -> DataFrame:
+    """members with the class's first (doc_id, row). Both sides of the join are shuffles of written tables, so that a class
+    with many rows can be split among tasks when the plan is adapted."""
+    members = written(members, "members")
+    # doc_id and row as one number, which hash aggregation can take the least of
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.col("row").cast("decimal(19,0)")
+    members = members.withColumn("place", place.cast("decimal(38,0)"))
+    first = written(members.where("class is not null").groupBy("class").agg(F.min("place").alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"), "firsts")
+    return members.join(first, "class", "left")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs; kept is true for the smallest id of a component."""
+    out = _with_first(_classes(docs, k, percent, miss)).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs, same columns, with the document of smallest id of each near-duplicate component. A null id is kept."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone_doc_id"))
-    return docs.join(gone, docs[DOC_ID] == gone["__gone_doc_id"], "left_anti")
+    """docs, same columns, with one row of each near-duplicate component: that of smallest id, the first as read on a tie."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    gone = _with_first(_classes(numbered, k, percent, MISS)).where("place <> first").select(F.col("row").alias("__gone"))
+    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(docs.columns)
