@@ -174,6 +174,16 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, k, percent, small
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in brute_near(rows, k, percent) if r[3]}
 
 
+def test_near_duplicates_are_removed_row_by_row(spark):
+    long, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(3, long), (3, other), (2, long + " end"), (7, "alone here"), (7, "alone here"), (None, other), (None, None), (None, None), (8, "clean of 8"), (8, long)]
+    docs = docs_of(spark, rows).withColumn("row", F.lit(1)).withColumn("place", F.lit("x")).withColumn("class", F.lit(2.0))
+    kept = neardup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, other), (2, long + " end"), (7, "alone here"), (None, None), (None, None), (8, "clean of 8")], key=str)
+    assert neardup.without_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs_of(spark, []), 3, 85).count() == 0
     assert neardup.least_matches(85, 1e-5)[-1] < 0.85 * neardup.HASHES
