@@ -41,9 +41,13 @@ LEAST = 16
 STEP, MOST_EDITS = 20, 5
 #: Offsets at which windows are hashed: every shift up to the index is a difference of two of them.
 RULERS = ((0,), (0, 1), (0, 1, 2))
-LETTERS = "etnairso"
+LETTERS = "etnairso", "uhdlcmgp", "bfvwy01."
+#: Codes of counts modulo 16: as many bits differ as the counts do, the short way round.
+CODES = [(1 << i) - 1 if i <= 8 else 255 << (i - 8) & 255 for i in range(16)]
+#: Equal characters kept at either end of lines that are compared: as many as the band is wide on one side, at least.
+KEPT = 8
 #: Buckets of up to so many lines give all their pairs.
-SMALL = 256
+SMALL = 2048
 #: Bits of the broadcast filter that finds candidates' texts; a bound on its rows, 64 bits each.
 BITS = 1 << 24
 _LAST_DOC = (1 << 63) - 1
@@ -76,24 +80,15 @@ def allowed(floor: Column, edits: int | None) -> Column:
     return F.lit(edits) if edits else F.least(F.greatest(F.floor(floor / STEP).cast("int"), F.lit(1)), F.lit(MOST_EDITS))
 
 
-def _letters(line: Column) -> Column:
-    """Counts of LETTERS, modulo 256, in the bytes of a long."""
-    out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255).cast("long")), 8 * i))
+def _letters(line: Column, letters: str) -> Column:
+    """Codes of the counts of eight letters; an edit changes two bits at most."""
+    out, codes = F.lit(0).cast("long"), F.array(*map(F.lit, CODES))
+    for i, c in enumerate(letters):
+        n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(F.get(codes, n.bitwiseAND(F.lit(15))).cast("long"), 8 * i))
     return out
 
 
-def _apart(a: Column, b: Column) -> Column:
-    """Sum of the counts' differences, each the short way round modulo 256."""
-    total = F.lit(0)
-    for i in range(len(LETTERS)):
-        x, y = (F.shiftright(v, 8 * i).bitwiseAND(F.lit(255).cast("long")) for v in (a, b))
-        total = total + F.least(F.pmod(x - y, F.lit(256)), F.pmod(y - x, F.lit(256)))
-    return total
-
-
 def banded_distance(x: Column, y: Column, edits: int) -> Column:
     """Edit distance of two character arrays whose sizes differ by `edits` at most, or more than `edits` if it is larger.
 
@@ -214,37 +209,65 @@ def _texts(own: DataFrame, ids: DataFrame) -> DataFrame:
     known = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     found = own.select("id", "line", word.alias("own_word"), bit.alias("bit")).join(F.broadcast(known), F.col("own_word") == F.col("word"))
     found = found.where(F.call_function("shiftrightunsigned", F.col("bits"), F.col("bit")).bitwiseAND(F.lit(1).cast("long")) == 1)
-    return written(found.select("id", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("about")), "line-texts")
+    return written(found.select("id", "line", F.length("line").alias("n"), *(_letters(F.col("line"), x).alias(f"about{i}") for i, x in enumerate(LETTERS))), "line-texts")
 
 
 def _candidates(shared: DataFrame, texts: DataFrame, edits: int | None) -> DataFrame:
     """(a, b) of rows (key, id, centre, size, component, seg, head): pairs of different components, and of different heads
     but for those of segment 0, that letters and lengths allow."""
-    about = texts.select("id", "n", "about")
+    letters = [f"about{i}" for i in range(len(LETTERS))]
+    about = texts.select("id", "n", *letters)
     shared = shared.select("key", "id", "centre", "size", "component", "seg", "head").distinct().join(about, "id")
     few = shared.where(F.col("size") <= SMALL)
-    x, y = (few.select("key", *(F.col(c).alias(c + i) for c in ("id", "component", "n", "about", "seg", "head"))) for i in "xy")
-    pairs = x.join(y, "key").where("idx < idy and (segx = 0 or headx <> heady)")
-    many = shared.where((F.col("size") > SMALL) & (F.col("id") != F.col("centre"))).select(*(F.col(c).alias(c + "x") for c in ("id", "component", "n", "about")), "centre")
-    # a centre stands in for its component
-    middle = about.select(F.col("id").alias("idy"), F.lit(None).cast("long").alias("componenty"), F.col("n").alias("ny"), F.col("about").alias("abouty"))
-    star = many.join(middle, F.col("centre") == F.col("idy")).drop("centre")
-    columns = [c + i for i in "xy" for c in ("id", "component", "n", "about")]
-    both = pairs.select(columns).union(star.select(columns)).where("componenty is null or componentx <> componenty")
+    x, y = (few.select("key", *(F.col(c).alias(c + i) for c in ("id", "component", "n", "seg", "head", *letters))) for i in "xy")
     limit = allowed(length_class(F.least("nx", "ny")), edits)
-    close = (F.abs(F.col("nx") - F.col("ny")) <= limit) & (_apart(F.col("aboutx"), F.col("abouty")) <= 2 * limit)
-    return both.where(close).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+    close, apart = F.abs(F.col("nx") - F.col("ny")) <= limit, F.lit(0)
+    for c in letters:
+        apart = apart + F.bit_count(F.col(c + "x").bitwiseXOR(F.col(c + "y")))
+        close = close & (apart <= 2 * limit)
+    ends = F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")
+    pairs = x.join(y, "key").where("idx < idy and componentx <> componenty and (segx = 0 or headx <> heady)").where(close).select(*ends)
+    many = shared.where((F.col("size") > SMALL) & (F.col("id") != F.col("centre"))).select(*(F.col(c).alias(c + "x") for c in ("id", "n", *letters)), F.col("centre").alias("idy")).distinct()
+    star = many.join(about.select(*(F.col(c).alias(c + "y") for c in ("id", "n", *letters))), "idy").where(close).select(*ends)
+    return pairs.union(star).distinct()
+
+
+def _differing(near: DataFrame) -> DataFrame:
+    """Rows with character arrays x and y, without what both begin or end with but for KEPT characters at either end."""
+    for _ in range(2):  # each turn drops what both begin with and turns both round
+        first = F.array_position(F.zip_with("x", "y", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+        first = F.greatest(F.lit(1), F.when(first == 0, F.size("x") + 1).otherwise(first) - KEPT)
+        near = near.select("a", "b", "limit", "x", "y", first.cast("int").alias("first"))
+        near = near.select("a", "b", "limit", *(F.reverse(F.slice(c, F.col("first"), F.greatest(F.lit(0), F.size(c) - F.col("first") + 1))).alias(c) for c in "xy"))
+    return near
+
+
+def _bounded_distance(x: Column, y: Column, most: int) -> Column:
+    """The built-in distance, 255 if it is more than `most`, of what x and y don't both begin or end with.
+
+    Equal ends are found by halving steps. Transforms of one-element arrays name each step's result.
+    """
+    room, steps = F.least(F.length(x), F.length(y)), F.array(*(F.lit(1 << i) for i in reversed(range(13))))
+    begin = F.aggregate(steps, F.lit(0), lambda p, k: F.when((p + k <= room) & (F.substring(x, p + 1, k) == F.substring(y, p + 1, k)), p + k).otherwise(p))
+
+    def end(p: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda q, k: F.when((p + q + k <= room) & (F.substring(x, F.length(x) - q - k + 1, k) == F.substring(y, F.length(y) - q - k + 1, k)), q + k).otherwise(q))
+
+    ends = F.transform(F.transform(F.array(begin), lambda p: F.struct(p.alias("p"), end(p).alias("q"))), lambda s: F.struct(F.greatest(s["p"] - KEPT, F.lit(0)).alias("p"), F.greatest(s["q"] - KEPT, F.lit(0)).alias("q")))
+    # -1 stands for more than `most`; as a byte it is 255, so that one comparison works the distance out once
+    found = F.transform(ends, lambda s: F.levenshtein(F.substring(x, s["p"] + 1, F.length(x) - s["p"] - s["q"]), F.substring(y, s["p"] + 1, F.length(y) - s["p"] - s["q"]), most).bitwiseAND(F.lit(255)))
+    return F.get(found, F.lit(0))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int | None) -> DataFrame:
     most = edits or MOST_EDITS
     x, y = (texts.select(F.col("id").alias(i), F.col("line").alias(n)) for i, n in (("a", "x"), ("b", "y")))
     limit = allowed(length_class(F.least(F.length("x"), F.length("y"))), edits)
-    apart = F.levenshtein("x", "y", most)
-    near = pairs.join(x, "a").join(y, "b").where((apart >= 0) & (apart <= limit)).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
-    near = written(near, "line-near")
-    limit = allowed(length_class(F.least(F.size("x"), F.size("y"))), edits)
-    return near.where(banded_distance(F.col("x"), F.col("y"), most) <= limit).select("a", "b")
+    apart = _bounded_distance(F.col("x"), F.col("y"), most)
+    near = pairs.join(x, "a").join(y, "b").where(apart <= limit).select("a", "b", limit.alias("limit"), F.split("x", "").alias("x"), F.split("y", "").alias("y"))
+    # written, since a filter over columns that are still to be worked out would work them out in each step
+    near = written(_differing(near), "line-near")
+    return near.where(banded_distance(F.col("x"), F.col("y"), most) <= F.col("limit")).select("a", "b")
 
 
 def near_pairs(own: DataFrame, edits: int | None, least: int) -> DataFrame:
