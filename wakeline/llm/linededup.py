@@ -41,7 +41,7 @@ LEAST = 16
 STEP, MOST_EDITS = 20, 5
 #: Offsets at which windows are hashed: every shift up to the index is a difference of two of them.
 RULERS = ((0,), (0, 1), (0, 1, 2))
-LETTERS = "etnairso", "uhdlcmgp", "bfvwy01."
+LETTERS = "etnairso", "uhdlcmgp", "bfvwy01.", "23456789"
 #: Codes of counts modulo 16: as many bits differ as the counts do, the short way round.
 CODES = [(1 << i) - 1 if i <= 8 else 255 << (i - 8) & 255 for i in range(16)]
 #: Equal characters kept at either end of lines that are compared: as many as the band is wide on one side, at least.
