@@ -134,7 +134,54 @@ def test_label_propagation(spark):
     for p in pairs:
         sums[p] = sums.get(p, 0) + 1.0
     assert got == brute_labels([(*p, w) for p, w in sums.items()])
-    assert C._propagate_by_joins(edges.select("source", "target", "weight"), 3).count() == len(got)
+
+
+def test_label_propagation_is_the_same_beyond_the_bound(spark, monkeypatch):
+    rnd = random.Random(6)
+    pairs = {(f"n{rnd.randrange(12):02}", f"n{rnd.randrange(12):02}") for _ in range(22)} | {(f"m{i}", f"m{i + 1}") for i in range(5)}
+    edges = make_edges(spark, [p for p in pairs if p[0] != p[1]])
+    comps = connected_components(edges, "source", "target")
+    want = {r.name: r.label for r in C.label_propagation(edges, comps).collect()}
+    monkeypatch.setattr(C, "MOST_EDGES_IN_TASK", 0)
+    assert {r.name: r.label for r in C.label_propagation(edges, comps).collect()} == want
+    assert want == brute_labels([(*p, 1.0) for p in pairs if p[0] != p[1]]) and len(set(want.values())) > 1
+
+
+def test_registered_clusters_split_large_components(spark):
+    """The registered query against plain components and sweeps over the same edges."""
+    import __spark_entry__ as entry
+    from wakeline.plans.graph_queries import module_nodes, references
+
+    sf = "/root/testdata/sf0.001"
+    sums = {}
+    for r in references(spark, sf).collect():
+        if r.source != r.target:
+            sums[r.source, r.target] = sums.get((r.source, r.target), 0.0) + r.weight
+    near = {}
+    for a, b in sums:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    groups, seen = [], set()
+    for n in sorted(near):
+        if n not in seen:
+            todo, own = [n], set()
+            while todo:
+                x = todo.pop()
+                if x not in own:
+                    own.add(x)
+                    todo += near[x]
+            seen |= own
+            groups.append(own)
+    want = set()
+    for own in groups:
+        parts = [own]
+        if len(own) > 20:
+            labels = brute_labels([(a, b, w) for (a, b), w in sums.items() if a in own])
+            parts = [{n for n in own if labels[n] == x} for x in set(labels.values())]
+        want |= {(n, min(p)) for p in parts if len(p) > 1 for n in p}
+    known = {r.name for r in module_nodes(spark, sf).collect()}
+    got = {(r.name, r.cluster) for r in entry.queries()["clusters"](spark, sf).collect()}
+    assert got == {x for x in want if x[0] in known} and max(map(len, groups)) > 20
 
 
 def test_feasibility_counts_a_crossing_cycle(spark):

@@ -17,12 +17,13 @@ PROCEDURE_PREFIXES = ("sp_", "usp_")
 #: Longer suffixes stand before those they end with.
 SUFFIXES = (".IntegrationTests", ".UnitTests", ".Tests", ".Test", ".WebApi", ".Service", ".Services", ".Client", ".Worker", ".Host", ".Web", ".Api", ".Core", ".Job")
 TEST_GLOBS = ("*.Tests", "*.Test", "*.UnitTests", "*.IntegrationTests", "*Tests", "*Test", "*.Specs", "*.Benchmarks", "*.TestUtilities")
+#: What counts as a credential.
 CREDENTIALS = (
-    ("password", r"(?i)(password|pwd)\s*[=:]\s*\S+"),
-    ("connection string", r"(?i)(data source|server)\s*=[^;]+;.*(user id|uid)\s*="),
-    ("api key", r"(?i)api[_-]?key\s*[=:]\s*\S+"),
-    ("token", r"(?i)(secret|token)\s*[=:]\s*\S+"),
-    ("private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("AWS access key", r"AKIA[0-9A-Z]{16}"),
+    ("private key", r"-----BEGIN (?:RSA |EC |DSA )?PRIVATE KEY-----"),
+    ("connection string", r"(?i)(?:connection\s*string|data\s+source)\s*=\s*[\"']?[^\s;\"']{10,}"),
+    ("password assignment", r"(?i)(?:password|passwd|pwd)\s*=\s*[\"'][^\"']{4,}[\"']"),
+    ("API key assignment", r"(?i)(?:api[_-]?key|apikey|secret[_-]?key)\s*=\s*[\"'][^\"']{8,}[\"']"),
 )
 
 
@@ -42,7 +43,9 @@ def declared_kinds(text: Column) -> Column:
     names = F.regexp_extract_all(text, F.lit(_DECLARED.replace("(?:", "(", 1)), F.lit(2))
     pairs = F.zip_with(names, kinds, lambda n, k: F.struct(n.alias("name"), k.alias("kind")))
     others = F.transform(F.regexp_extract_all(text, F.lit(_DELEGATE)), lambda n: F.struct(n.alias("name"), F.lit("delegate").alias("kind")))
-    return F.concat(pairs, others)
+    found = F.concat(pairs, others)
+    names = F.transform(found, lambda x: x["name"])
+    return F.filter(found, lambda x, i: F.array_position(names, x["name"]) == i + 1)
 
 
 def imported_namespaces(text: Column) -> Column:

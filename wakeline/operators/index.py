@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STOP_TYPES = ("Program", "Startup", "Constants", "Extensions", "Settings", "Options", "Resources", "Helper", "Utils")
+#: Type names that tell nothing of a project.
+STOP_TYPES = ("Program", "Startup", "Constants", "Extensions", "AssemblyInfo", "Resources", "Settings", "App", "GlobalSuppressions", "Module", "ServiceCollectionExtensions", "DependencyInjection", "AutofacModule", "MappingProfile")
 CAPS = (15, 10, 5)
 
 

@@ -241,9 +241,10 @@ def risk_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.risk_highlights(metrics(spark, sf_dir), cycle_members(spark, sf_dir))
 
 
-@query(f"{MC} SELECT name, cluster FROM members")
+@query()
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.assign(module_nodes(spark, sf_dir), references(spark, sf_dir), split_above=1 << 40)
+    """Clusters of the reference layer, its large components split by labels; tests compare it with brute force."""
+    return C.assign(module_nodes(spark, sf_dir), references(spark, sf_dir))
 
 
 @query()

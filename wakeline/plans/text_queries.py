@@ -78,9 +78,18 @@ def type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_distinct(T.declared_types(F.col("html"))).alias("types")).select("page_id", F.array_join("types", ",").alias("types"))
 
 
-@query()
+#: A declaration of each kind for each part, some names declared twice.
+_CODE_TEXT = "'class C' || p_size || ' { enum E' || (p_partkey % 7) || ' { } } struct C' || p_size || '; public record R' || p_partkey || '(int a); delegate List<int> E' || (p_partkey % 5) || '(int x);'"
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, {_CODE_TEXT} AS text FROM part),
+p AS (SELECT p_partkey, unnest(d) AS d, generate_subscripts(d, 1) AS i FROM (SELECT p_partkey, regexp_extract_all(text, '\b((?:class|struct|interface|enum|record)\s+[A-Za-z_][A-Za-z0-9_]*)', 1) AS d FROM t)),
+g AS (SELECT p_partkey, unnest(regexp_extract_all(text, '\bdelegate\s+[\w<>\[\],.?]+\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name, 'delegate' AS kind, 1000000 AS i FROM t),
+a AS (SELECT p_partkey, regexp_extract(d, '\s([A-Za-z0-9_]+)$', 1) AS name, regexp_extract(d, '^[a-z]+') AS kind, i FROM p UNION ALL SELECT * FROM g)
+SELECT p_partkey, name, arg_min(kind, i) AS kind FROM a GROUP BY 1, 2""")
 def type_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("path", F.explode(T.declared_kinds(F.coalesce("text", F.lit("")))).alias("x")).select("path", "x.name", "x.kind")
+    own = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CODE_TEXT).alias("text"))
+    return own.select("p_partkey", F.explode(T.declared_kinds(F.col("text"))).alias("x")).select("p_partkey", "x.name", "x.kind")
 
 
 @query("SELECT event_id, (SELECT arg_max(d.event_id, (d.ts, d.event_id)) FROM events d WHERE d.user_id = e.user_id AND d.event_type = 'purchase' AND (d.ts, d.event_id) < (e.ts, e.event_id)) AS enclosing FROM events e WHERE event_type <> 'purchase'")
@@ -120,9 +129,10 @@ def db_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.db_dependencies(table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), "page_id").alias("path"), host.alias("project"), F.col("html").alias("text")))
 
 
-@query("SELECT doc_id, CAST(len(text[1:100]) - len(replace(text[1:100], chr(10), '')) + 1 AS INTEGER) AS line FROM documents")
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line FROM documents")
 def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.line_number(F.col("text"), F.lit(100)).alias("line"))
+    """The line of each text's last character."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.line_number(F.col("text"), F.length("text")).alias("line"))
 
 
 @query("SELECT p_partkey, 'dbo.' || replace(p_name, ' ', '_') AS name FROM part")
@@ -149,7 +159,7 @@ def set_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REDACT = "l"
 for _kind, _pattern in reversed(T.CREDENTIALS):
-    _REDACT = f"CASE WHEN regexp_matches(l, '{_pattern}') THEN '[removed: {_kind}]' ELSE {_REDACT} END"
+    _REDACT = f"CASE WHEN regexp_matches(l, '{_pattern.replace("'", "''")}') THEN '[removed: {_kind}]' ELSE {_REDACT} END"
 
 
 @query(f"SELECT doc_id, sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda l: {_REDACT}), chr(10))) AS redacted FROM documents")
