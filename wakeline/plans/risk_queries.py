@@ -21,7 +21,7 @@ from ..sources.testdata import files, module_edges, part_edges, part_nodes, tabl
 from ..streaming import incremental as Inc
 from .graph_queries import cluster_members, cycle_members, metrics
 from .registry import CLUSTERS, CYCLES, METRICS, MODULE_EDGES, PART_EDGES, PART_NODES, joined, query
-from .text_queries import FILES
+from .text_queries import _IDS, FILES
 
 ENM = f"WITH {PART_EDGES}, {PART_NODES}, {METRICS}"
 ENMC = f"WITH RECURSIVE {PART_EDGES}, {PART_NODES}, {METRICS}, {CYCLES}"
@@ -298,8 +298,72 @@ def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return old, gone.unionByName(more)
 
 
-@query(f"""WITH {FILES}, cur AS (SELECT path, CASE WHEN split_part(path, '/', 2) = 'es' THEN text || chr(10) || 'class Añadido uses License; class Ley ' || project ELSE text END AS text FROM files WHERE split_part(path, '/', 2) <> 'de') SELECT path, sha256(text) AS content_hash FROM cur""")
+#: A code base of all documents: project P0..P16, namespaces, types, procedures; the tenths 3, 4 and 5 of the documents
+#: are deleted, changed and new.
+_CODE = "concat(coalesce(text, ''), '\nusing NS', doc_id % {using}, ';\nclass C', doc_id % 11, ' { C', doc_id % {uses}, ' x; } \"usp_p', doc_id % 13, '\"')"
+_SQL_CODE = "coalesce(text, '') || chr(10) || 'using NS' || doc_id % {using} || ';' || chr(10) || 'class C' || doc_id % 11 || ' {{ C' || doc_id % {uses} || ' x; }} \"usp_p' || doc_id % 13 || '\"'"
+
+
+def _code_base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Facts before, changed facts, projects before and after, references before and after."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("P"), F.col("doc_id") % 17, F.lit("/doc"), "doc_id", F.lit(".cs")).alias("path"), F.concat(F.lit("P"), F.col("doc_id") % 17).alias("project"), "doc_id", "text")
+
+    def facts(rows: DataFrame, using: int, uses: int) -> DataFrame:
+        return B.file_facts(rows.select("path", "project", F.expr(_CODE.replace("{using}", str(using)).replace("{uses}", str(uses))).alias("text")))
+
+    tenth = F.col("doc_id") % 10
+    old = facts(docs.where(tenth != 5), 17, 5)
+    gone = facts(docs.where(tenth == 3), 17, 5).withColumn("content_hash", F.lit(None).cast("string"))
+    changed = facts(docs.where(tenth.isin(4, 5)), 7, 9).unionByName(gone)
+    names = spark.range(17).select(F.concat(F.lit("P"), "id").alias("name"), F.concat(F.lit("src/P"), "id", F.lit("/P"), "id", F.lit(".csproj")).alias("path"), F.concat(F.lit("NS"), "id").alias("namespace"))
+    after = names.where("name <> 'P16'").withColumn("namespace", F.when(F.col("name") == "P3", F.lit("NS4")).otherwise(F.col("namespace")))
+
+    def references(step: int) -> DataFrame:
+        include = F.concat(F.lit("..\\P"), (F.col("id") + step) % 17, F.lit("\\P"), (F.col("id") + step) % 17, F.lit(".csproj"))
+        return spark.range(17).select(F.concat(F.lit("P"), "id").alias("source"), F.concat(F.lit("src/P"), "id").alias("directory"), include.alias("include"))
+
+    return old, changed, names, after, references(1), references(2)
+
+
+@query(rf"""WITH file AS (SELECT 'P' || doc_id % 17 || '/doc' || doc_id || '.cs' AS path, 'P' || doc_id % 17 AS project, CASE WHEN doc_id % 10 IN (4, 5) THEN {_SQL_CODE.format(using=7, uses=9)} ELSE {_SQL_CODE.format(using=17, uses=5)} END AS text
+  FROM documents WHERE doc_id % 10 <> 3 AND doc_id % 17 <> 16),
+p AS (SELECT 'P' || i AS name, CASE WHEN i = 3 THEN 'NS4' ELSE 'NS' || i END AS namespace FROM range(16) AS r(i)),
+ns AS (SELECT namespace, max(name) AS target FROM p GROUP BY 1),
+ids AS (SELECT path, project, unnest({_IDS}) AS t FROM file),
+decl AS (SELECT DISTINCT project AS target, unnest(regexp_extract_all(text, '\b(?:class|struct|interface|enum|record)\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) AS t FROM file),
+proc AS (SELECT DISTINCT project, unnest(regexp_extract_all(text, '(?i)"((?:\[?\w+\]?\.)?\[?(?:sp_|usp_)\w+\]?)"', 1)) AS o FROM file),
+hit AS (
+  SELECT project AS source, target, 'namespace_usage' AS edge_type, path AS proof FROM (SELECT DISTINCT path, project, unnest(regexp_extract_all(text, '(?m)^[ \t]*using[ \t]+([A-Za-z_][A-Za-z0-9_.]*)[ \t]*;', 1)) AS namespace FROM file) JOIN ns USING (namespace)
+  UNION ALL SELECT project, target, 'type_usage', path || ':' || t FROM ids JOIN decl USING (t)
+  UNION ALL SELECT a.project, b.project, 'sproc_shared', a.o FROM proc a JOIN proc b ON a.o = b.o
+  UNION ALL SELECT 'P' || i, 'P' || (i + 2) % 17, 'project_reference', 'x' FROM range(16) AS r(i) WHERE (i + 2) % 17 < 16)
+SELECT source, target, edge_type, CAST(count(DISTINCT proof) AS DOUBLE) AS weight, count(DISTINCT proof) AS evidence_total FROM hit WHERE source <> target GROUP BY 1, 2, 3""")
 def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a graph that is patched after a change; the SQL builds them anew."""
+    old, changed, names, after, references, new_references = _code_base(spark, sf_dir)
+    old, changed = cut(old, "facts"), cut(changed, "facts")
+    nodes, edges = Inc.full_graph(old, names, references)
+    edges = cut(edges, "edges")
+    return Inc.patch_graph(nodes, edges, old, changed, names, after, new_references)[1].select("source", "target", "edge_type", "weight", "evidence_total")
+
+
+@query(rf"""WITH file AS (SELECT 'P' || doc_id % 17 AS project, CASE WHEN doc_id % 10 IN (4, 5) THEN {_SQL_CODE.format(using=7, uses=9)} ELSE {_SQL_CODE.format(using=17, uses=5)} END AS text
+  FROM documents WHERE doc_id % 10 <> 3 AND doc_id % 17 <> 16),
+f AS (SELECT project AS name, count(*) AS file_count, list_sort(list_distinct(flatten(list(regexp_extract_all(text, '\b(?:class|struct|interface|enum|record)\s+([A-Za-z_][A-Za-z0-9_]*)', 1))))) AS types,
+        list_sort(list_distinct(flatten(list(regexp_extract_all(text, '(?i)"((?:\[?\w+\]?\.)?\[?(?:sp_|usp_)\w+\]?)"', 1))))) AS objects FROM file GROUP BY 1)
+SELECT 'P' || i AS name, CASE WHEN i = 3 THEN 'NS4' ELSE 'NS' || i END AS namespace, coalesce(file_count, 0) AS file_count, coalesce(array_to_string(types, ','), '') AS types, coalesce(array_to_string(objects, ','), '') AS objects
+FROM range(16) AS r(i) LEFT JOIN f ON f.name = 'P' || i""")
+def patched_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the patched graph, with what their files declare and use."""
+    old, changed, names, after, references, new_references = _code_base(spark, sf_dir)
+    old, changed = cut(old, "facts"), cut(changed, "facts")
+    nodes, edges = Inc.full_graph(old, names, references)
+    made = Inc.patch_graph(cut(nodes, "nodes"), edges, old, changed, names, after, new_references)[0]
+    return made.select("name", "namespace", "file_count", F.array_join("type_declarations", ",").alias("types"), F.array_join("object_refs", ",").alias("objects"))
+
+
+@query(f"""WITH {{FILES}}, cur AS (SELECT path, CASE WHEN split_part(path, '/', 2) = 'es' THEN text || chr(10) || 'class Añadido uses License; class Ley ' || project ELSE text END AS text FROM files WHERE split_part(path, '/', 2) <> 'de') SELECT path, sha256(text) AS content_hash FROM cur""".replace("{FILES}", FILES))
+def merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Inc.merge_facts(*_changes(spark, sf_dir)).select("path", "content_hash")
 
 

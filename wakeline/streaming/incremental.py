@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import builders as B
 from ..operators.components import cut
+from ..schemas import NAMESPACE, REFERENCE, SHARED, TYPE
 
 MOST_PROJECTS, MOST_SHARE = 50, 0.3
 #: Kinds of edges that follow from file facts.
@@ -63,6 +64,80 @@ def patch_type_edges(edges: DataFrame, old: DataFrame, changed: DataFrame) -> Da
     return edges.join(affected.select(F.col("project").alias("source")), "source", "left_anti").select(*fresh.columns).unionByName(fresh)
 
 
+def full_graph(facts: DataFrame, projects: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) made anew from file facts, projects (name, path, namespace) and references (source, directory, include).
+
+    Edges of projects that aren't there are left out.
+    """
+    own = facts.join(projects.select(F.col("name").alias("project")), "project", "left_semi")
+    types = own.select(F.explode("types").alias("type"), "project").distinct()
+    edges = B.namespace_edges(own, _namespaces(projects)).unionByName(B.type_edges_full(own, types))
+    edges = edges.unionByName(B.shared_object_edges(own.select("project", F.explode("procedures").alias("object"))))
+    return B.nodes_from_facts(projects, own), edges.unionByName(_references(references, projects))
+
+
+def _namespaces(projects: DataFrame) -> DataFrame:
+    return projects.where("namespace is not null").select("namespace", F.col("name").alias("project"))
+
+
+def _references(references: DataFrame, projects: DataFrame) -> DataFrame:
+    known = references.join(projects.select(F.col("name").alias("source")), "source", "left_semi")
+    return B.reference_edges(known, projects).where("source <> target")
+
+
+def patch_graph(nodes: DataFrame, edges: DataFrame, old: DataFrame, changed: DataFrame, old_projects: DataFrame, projects: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after a change, as full_graph() would give them.
+
+    old are the facts before and changed the rows in place of theirs; projects and references are the tables after the
+    change. Touched are the projects of changed files and those that came, went or changed. Made anew are the edges that
+    start at touched projects; namespace edges of users of a namespace whose owner changed; type edges of users of a type
+    that came or went; shared-object edges with a touched end; and the metadata of touched nodes. Reference edges come from project files, far
+    fewer than facts, and are made anew where a project changed or its references did.
+    """
+    new = cut(merge_facts(old, changed).join(projects.select(F.col("name").alias("project")), "project", "left_semi"), "facts")
+    old = cut(old, "facts")
+    columns = ["name", "path", "namespace"]
+    moved = cut(projects.select(columns).exceptAll(old_projects.select(columns)).union(old_projects.select(columns).exceptAll(projects.select(columns))).select("name").distinct(), "moved")
+    before = old.join(changed.select("path"), "path", "left_semi")
+    touched = cut(before.select("project").union(changed.where("project is not null").select("project")).union(moved.select(F.col("name").alias("project"))).distinct(), "touched")
+
+    def owners(p: DataFrame) -> DataFrame:
+        return _namespaces(p).groupBy("namespace").agg(F.max("project").alias("project"))
+
+    spaces = owners(projects).exceptAll(owners(old_projects)).union(owners(old_projects).exceptAll(owners(projects))).select("namespace").distinct()
+    both = old.select("project", "namespaces", "identifiers").union(new.select("project", "namespaces", "identifiers"))
+    importers = both.select("project", F.explode("namespaces").alias("namespace")).join(spaces, "namespace", "left_semi").select("project").distinct()
+
+    def declared(f: DataFrame) -> DataFrame:
+        return f.select(F.explode("types").alias("type"), "project").distinct()
+
+    types = declared(new).exceptAll(declared(old)).union(declared(old).exceptAll(declared(new))).select("type").distinct()
+    users = both.select("project", F.explode("identifiers").alias("type")).join(types, "type", "left_semi").select("project").distinct()
+    fresh = {
+        NAMESPACE: (cut(touched.union(importers).distinct(), "affected"), lambda p: B.namespace_edges(new.join(p, "project", "left_semi"), _namespaces(projects))),
+        TYPE: (cut(touched.union(users).distinct(), "affected"), lambda p: B.type_edges_full(new.join(p, "project", "left_semi"), declared(new))),
+    }
+    kept = edges.where(~F.col("edge_type").isin(NAMESPACE, TYPE, SHARED, REFERENCE))
+    for kind, (affected, make) in fresh.items():
+        rest = edges.where(F.col("edge_type") == kind).join(affected.select(F.col("project").alias("source")), "source", "left_anti")
+        kept = kept.unionByName(rest.select(edges.columns)).unionByName(make(affected).select(edges.columns))
+    # what touched projects share now, and with whom: objects of touched projects only
+    uses = new.select("project", F.explode("procedures").alias("object")).distinct()
+    near = uses.join(uses.join(touched, "project", "left_semi").select("object").distinct(), "object", "left_semi")
+    shared = B.shared_object_edges(near)
+    ends = [touched.select(F.col("project").alias(c), F.lit(True).alias(f"__{c}")) for c in ("source", "target")]
+
+    def at(rows: DataFrame, is_touched: bool) -> DataFrame:
+        any_end = F.coalesce("__source", F.lit(False)) | F.coalesce("__target", F.lit(False))
+        return rows.join(ends[0], "source", "left").join(ends[1], "target", "left").where(any_end == is_touched).select(edges.columns)
+
+    kept = kept.unionByName(at(edges.where(F.col("edge_type") == SHARED), False)).unionByName(at(shared, True))
+    kept = kept.unionByName(_references(references, projects).select(edges.columns))
+    made = B.nodes_from_facts(projects.join(touched.select(F.col("project").alias("name")), "name", "left_semi"), new.join(touched, "project", "left_semi"))
+    stay = nodes.join(touched.select(F.col("project").alias("name")), "name", "left_anti").join(projects.select("name"), "name", "left_semi")
+    return stay.select(made.columns).unionByName(made), kept
+
+
 def follow(spark: SparkSession, feed: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts a stream that merges each micro-batch of facts into a table: read() gives the current facts, write(facts,
     batch) stores the next version. A batch that is replayed gives the same facts."""
