@@ -11,6 +11,7 @@ from ..functions import scores as S
 
 from ..operators import builders as B
 from ..operators import consumers as K
+from ..operators import documents as Dc
 from ..operators import index as I
 from ..operators import reports as Rp
 from ..operators import risk as R
@@ -372,6 +373,45 @@ def change_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Inc.classify(*_changes(spark, sf_dir))
 
 
+@query("""WITH b AS (SELECT 'a/' || doc_id AS path, md5(coalesce(text, '')) AS h FROM documents WHERE doc_id % 10 <> 5),
+n AS (SELECT CASE WHEN doc_id % 10 = 7 THEN 'b/' || doc_id ELSE 'a/' || doc_id END AS path, md5(CASE WHEN doc_id % 10 = 4 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 10 <> 3),
+j AS (SELECT coalesce(b.path, n.path) AS path, b.h AS old, n.h AS new FROM b FULL JOIN n ON b.path = n.path WHERE b.h IS NULL OR n.h IS NULL OR b.h <> n.h),
+gone AS (SELECT path, old AS h, row_number() OVER (PARTITION BY old ORDER BY path) AS k FROM j WHERE new IS NULL),
+came AS (SELECT path, new AS h, row_number() OVER (PARTITION BY new ORDER BY path) AS k FROM j WHERE old IS NULL)
+SELECT coalesce(c.path, g.path) AS path, CASE WHEN c.path IS NULL THEN 'deleted' WHEN g.path IS NULL THEN 'added' ELSE 'renamed' END AS status, CASE WHEN c.path IS NOT NULL THEN g.path END AS old_path
+FROM came c FULL JOIN gone g ON c.h = g.h AND c.k = g.k UNION ALL SELECT path, 'modified', NULL FROM j WHERE old IS NOT NULL AND new IS NOT NULL""")
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of two snapshots: tenths of them are new, deleted, changed or moved."""
+    docs, tenth, text = table(spark, sf_dir, "documents"), F.col("doc_id") % 10, F.coalesce("text", F.lit(""))
+    path = F.concat(F.lit("a/"), "doc_id")
+    before = docs.where(tenth != 5).select(path.alias("path"), F.md5(text).alias("content_hash"))
+    after = docs.where(tenth != 3).select(F.when(tenth == 7, F.concat(F.lit("b/"), "doc_id")).otherwise(path).alias("path"), F.md5(F.when(tenth == 4, F.concat(text, F.lit("!"))).otherwise(text)).alias("content_hash"))
+    return Inc.diff_snapshots(before, after)
+
+
+@query(f"""WITH RECURSIVE {PART_EDGES}, {PART_NODES}, {METRICS}, j AS (SELECT name, '{{"fan_in":' || fan_in || ',"fan_out":' || fan_out || ',"instability":' || round(instability, 3)::DOUBLE || ',"coupling_score":' || round(coupling, 3)::DOUBLE || ',"afferent_coupling":' || afferent || ',"efferent_coupling":' || efferent
+  || ',"shared_db_density":' || round(shared_db_density, 3)::DOUBLE || ',"type_export_count":' || type_export_count || ',"consumer_count":' || consumer_count || '}}' AS body FROM metrics)
+SELECT 'metrics' AS section, 0 AS place, name AS key, body FROM j
+UNION ALL SELECT 'nodes', 0, name, '{{"name":"' || name || '","namespace":"' || namespace || '","file_count":' || file_count || '}}' FROM nodes
+UNION ALL SELECT 'edges', 0, source || ' -> ' || target || ' -> ' || edge_type, '{{"source":"' || source || '","target":"' || target || '","edge_type":"' || edge_type || '","weight":' || weight || '}}' FROM edges
+UNION ALL SELECT 'summary', 0, 'summary', '{{"node_count":' || (SELECT count(*) FROM nodes) || ',"edge_count":' || (SELECT count(*) FROM edges) || ',"cycle_count":0,"cluster_count":0}}'
+UNION ALL SELECT 'top_coupled', row_number() OVER (ORDER BY coupling DESC, name), name, '{{"project":"' || name || '","fan_in":' || fan_in || ',"fan_out":' || fan_out || ',"instability":' || round(instability, 3)::DOUBLE || ',"coupling_score":' || round(coupling, 3)::DOUBLE || '}}'
+ FROM (SELECT * FROM metrics ORDER BY coupling DESC, name LIMIT 10)""")
+def graph_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON document of the part graph, without cycles and clusters."""
+    edges = part_edges(spark, sf_dir)
+    none = spark.createDataFrame([], "component string, size long, edge_count long")
+    return Dc.graph_document(part_nodes(spark, sf_dir), edges, metrics(spark, sf_dir), none)
+
+
+@query(f"""{_TRACE}, t AS (SELECT target, count(*) FILTER (depth = 0) AS d, count(*) FILTER (depth > 0) AS f, max(depth) AS m FROM tr GROUP BY 1)
+SELECT 'targets' AS section, 0 AS place, target AS key, '{{"target":"' || target || '","total_direct":' || d || ',"total_transitive":' || f || ',"max_depth_reached":' || m || '}}' AS body FROM t
+UNION ALL SELECT 'summary', 0, 'summary', '{{"request":"move","targets":' || count(*) || ',"total_direct":' || sum(d) || ',"total_transitive":' || sum(f) || ',"max_depth":' || max(m) || '}}' FROM t""")
+def impact_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary and targets of the impact document."""
+    return Dc.impact_document(cut(_trace(spark, sf_dir), "trace"), "move").where("section in ('summary', 'targets')")
+
+
 @query()
 def patched_type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, changed = (cut(d, "facts") for d in _changes(spark, sf_dir))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import builders as B
 from ..operators.components import cut
@@ -28,6 +29,21 @@ def classify(old: DataFrame, changed: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
+def diff_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, status, old_path) of two snapshots (path, content_hash): added, modified, deleted, or renamed from old_path.
+
+    A path that went and one that came with the same content are a rename; where several have the same content they are
+    paired in order of path, and what is left over is deleted or added.
+    """
+    both = before.select("path", F.col("content_hash").alias("old")).join(after.select("path", F.col("content_hash").alias("new")), "path", "full_outer")
+    both = cut(both.where("old is null or new is null or old <> new"), "changes")
+    order = W.partitionBy("hash").orderBy("path")
+    gone, came = (both.where(f"{x} is null").select("path", F.col(y).alias("hash")).withColumn("place", F.row_number().over(order)) for x, y in (("new", "old"), ("old", "new")))
+    moved = came.join(gone.select("hash", "place", F.col("path").alias("old_path")), ["hash", "place"], "full_outer")
+    moved = moved.select(F.coalesce("path", "old_path").alias("path"), F.when(F.col("path").isNull(), "deleted").when(F.col("old_path").isNull(), "added").otherwise("renamed").alias("status"), F.when(F.col("path").isNotNull(), F.col("old_path")).alias("old_path"))
+    return moved.union(both.where("old is not null and new is not null").select("path", F.lit("modified"), F.lit(None).cast("string")))
+
+
 def merge_facts(old: DataFrame, changed: DataFrame) -> DataFrame:
     """old facts with changed ones in their place; idempotent, keyed by path."""
     return old.join(changed.select("path"), "path", "left_anti").unionByName(changed.where("content_hash is not null"))
