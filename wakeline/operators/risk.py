@@ -34,9 +34,10 @@ def structural(metrics: DataFrame) -> DataFrame:
     return metrics.crossJoin(top).select("name", S.structural(F.col("fan_in"), (F.col("n") >= 10) & (F.col("coupling") >= F.col("cut"))).alias("structural"))
 
 
-def dimensions(metrics: DataFrame, members: DataFrame, direct: DataFrame, transitive: DataFrame, crossed: DataFrame | None = None, surface: DataFrame | None = None) -> DataFrame:
+def dimensions(metrics: DataFrame, members: DataFrame, direct: DataFrame, transitive: DataFrame, crossed: DataFrame | None = None, surface: DataFrame | None = None, shared_by_teams: DataFrame | None = None) -> DataFrame:
     """(name, seven scores): members (name, size) of cycles, direct and transitive (name, n) consumers, crossed
-    (name, n) clusters. A dimension without data is null and takes no part in the composite."""
+    (name, n) clusters, shared_by_teams (name) whose objects several teams use. A dimension without data is null and
+    takes no part in the composite."""
     out = metrics.join(structural(metrics), "name").join(members.select("name", F.col("size").alias("cycle_size")), "name", "left")
     out = out.join(direct.select("name", F.col("n").alias("n_direct")), "name", "left").join(transitive.select("name", F.col("n").alias("n_transitive")), "name", "left")
     zero = F.lit(0)
@@ -44,14 +45,17 @@ def dimensions(metrics: DataFrame, members: DataFrame, direct: DataFrame, transi
         out = out.join(crossed.select("name", F.col("n").alias("n_crossed")), "name", "left")
     if surface is not None:
         out = out.join(surface.select("name", "change_surface"), "name", "left")
+    if shared_by_teams is not None:
+        out = out.join(shared_by_teams.select("name", F.lit(True).alias("cross_team")), "name", "left")
+    cross_team = F.coalesce("cross_team", F.lit(False)) if shared_by_teams is not None else F.lit(False)
     return out.select(
         "name",
         "structural",
         S.instability(F.col("instability"), F.col("fan_in")).alias("instability"),
         S.cycle(F.coalesce("cycle_size", zero)).alias("cycle"),
-        S.database(F.col("shared_db_density"), F.lit(False)).alias("database"),
+        S.database(F.col("shared_db_density"), cross_team).alias("database"),
         S.blast_radius(F.coalesce("n_direct", zero), F.coalesce("n_transitive", zero)).alias("blast_radius"),
-        (S.domain_boundary(F.coalesce("n_crossed", zero)) if crossed is not None else F.lit(0.0)).alias("domain_boundary"),
+        (S.domain_boundary(F.coalesce("n_crossed", zero)) if crossed is not None else F.lit(None).cast("double")).alias("domain_boundary"),
         (F.col("change_surface") if surface is not None else F.lit(None).cast("double")).alias("change_surface"),
     )
 
@@ -149,6 +153,13 @@ def crossed_clusters(direct: DataFrame, members: DataFrame) -> DataFrame:
     return own.where("a is null or a <> b").groupBy(F.col("target").alias("name")).agg(F.count_distinct("b").alias("n"))
 
 
+def shared_by_teams(nodes: DataFrame, teams: DataFrame) -> DataFrame:
+    """(name) of nodes one of whose objects is used by several teams; teams is (name, team)."""
+    uses = nodes.select("name", F.explode("object_refs").alias("object"))
+    several = uses.join(teams, "name").groupBy("object").agg(F.min("team").alias("lo"), F.max("team").alias("hi")).where("lo <> hi").select("object")
+    return uses.join(several, "object", "left_semi").select("name").distinct()
+
+
 def database_impact(nodes: DataFrame, involved: DataFrame) -> DataFrame:
     """(object, n_projects, days): objects of two or more nodes, one of them involved; three more days beyond three."""
     uses = nodes.select("name", F.explode("object_refs").alias("object")).distinct()

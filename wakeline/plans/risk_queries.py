@@ -41,17 +41,40 @@ _HOPS = """into_ AS (SELECT DISTINCT target AS name, source AS consumer FROM edg
 far AS (SELECT a.name, b.consumer FROM into_ a JOIN into_ b ON b.name = a.consumer WHERE b.consumer <> a.name EXCEPT SELECT name, consumer FROM into_),
 direct AS (SELECT name, count(*) AS d FROM into_ GROUP BY 1), trans AS (SELECT name, count(*) AS t FROM far GROUP BY 1)"""
 _LEVEL = "CASE WHEN {0} >= 0.7 THEN 'RED' WHEN {0} >= 0.4 THEN 'YELLOW' ELSE 'GREEN' END"
-_DIMS = f"""{ENMC}, {_CUT}, {_HOPS}, dims AS (
- SELECT m.name, {_STRUCTURAL} AS structural, {_INSTABILITY} AS instability_, CASE WHEN coalesce(s.size, 0) >= 5 THEN 1.0 WHEN s.size >= 3 THEN {_lin('s.size', 2, 5, 0.6, 1.0)} WHEN s.size = 2 THEN 0.6 ELSE 0.0 END AS cycle,
-  (SELECT {_DATABASE} FROM (SELECT m.shared_db_density AS d, false AS x)) AS database, (SELECT {_BLAST} FROM (SELECT coalesce(direct.d, 0) AS d, coalesce(trans.t, 0) AS t)) AS blast_radius, coalesce(direct.d, 0) AS d, coalesce(trans.t, 0) AS t
- FROM metrics m CROSS JOIN pct LEFT JOIN (SELECT * FROM members WHERE size > 1) s ON s.name = m.name LEFT JOIN direct ON direct.name = m.name LEFT JOIN trans ON trans.name = m.name),
-prof AS (SELECT *, greatest(structural * 0.7, instability_ * 0.6, cycle * 1.0, database * 0.8, blast_radius * 0.7, 0.0) AS composite FROM dims)"""
+_BOUNDARY = f"CASE WHEN n >= 3 THEN {_lin('n', 3, 6, 0.6, 0.8)} WHEN n >= 2 THEN {_lin('n', 2, 3, 0.3, 0.6)} WHEN n >= 1 THEN {_lin('n', 1, 2, 0.2, 0.3)} ELSE 0.0 END"
+_DIFF = """o AS (SELECT 'C' || o_custkey AS project, o_orderpriority || '-' || o_orderstatus AS type, CASE WHEN o_orderstatus = 'F' THEN 'interface' ELSE 'class' END AS kind, o_orderdate < TIMESTAMP '1995-06-01' AS old FROM orders),
+diff AS (SELECT project, type, any_value(kind) AS kind, CASE WHEN NOT bool_or(old) THEN 'added' WHEN bool_and(old) THEN 'deleted' ELSE 'modified' END AS change FROM o GROUP BY 1, 2)"""
+#: Types declared by projects named like parts, before and after.
+_SURFACE = _DIFF.replace("'C' || o_custkey", "'P' || o_custkey") + """,
+n AS (SELECT project AS name, count(*) FILTER (change = 'deleted') AS dd, count(*) FILTER (change = 'modified' AND kind = 'interface') AS i, count(*) FILTER (change = 'modified' AND kind <> 'interface') AS mm, count(*) FILTER (change = 'added') AS a FROM diff GROUP BY 1),
+surf AS (SELECT name, greatest(CASE WHEN dd > 0 THEN least(1.0, 0.7 + (dd - 1) * 0.1) ELSE 0.0 END, CASE WHEN i > 0 THEN least(0.8, 0.5 + (i - 1) * 0.1) ELSE 0.0 END, CASE WHEN mm > 0 THEN least(0.6, 0.3 + (mm - 1) * 0.05) ELSE 0.0 END, CASE WHEN a > 0 THEN 0.1 ELSE 0.0 END) AS surface FROM n)"""
+#: Brands stand for domains and, by their first digit, for teams.
+_DOMAINS = """domain AS (SELECT 'P' || p_partkey AS name, p_brand AS cluster, substr(p_brand, length(p_brand) - 1, 1) AS team FROM part),
+crossed AS (SELECT e.target AS name, count(DISTINCT b.cluster) AS n FROM (SELECT DISTINCT source, target FROM edges) e JOIN domain b ON b.name = e.source LEFT JOIN domain a ON a.name = e.target WHERE a.cluster IS NULL OR a.cluster <> b.cluster GROUP BY 1),
+uses AS (SELECT name, unnest(object_refs) AS o FROM nodes), several AS (SELECT o FROM uses JOIN domain USING (name) GROUP BY 1 HAVING count(DISTINCT team) > 1),
+xteam AS (SELECT DISTINCT name, true AS x FROM uses JOIN several USING (o))"""
+_DIMS = f"""{ENMC}, {_CUT}, {_HOPS}, {_SURFACE}, {_DOMAINS}, dims AS (
+ SELECT m.name, {_STRUCTURAL.replace(' n >= 10', ' pct.n >= 10')} AS structural, {_INSTABILITY} AS instability_, CASE WHEN coalesce(s.size, 0) >= 5 THEN 1.0 WHEN s.size >= 3 THEN {_lin('s.size', 2, 5, 0.6, 1.0)} WHEN s.size = 2 THEN 0.6 ELSE 0.0 END AS cycle,
+  (SELECT {_DATABASE} FROM (SELECT m.shared_db_density AS d, coalesce(xteam.x, false) AS x)) AS database, (SELECT {_BLAST} FROM (SELECT coalesce(direct.d, 0) AS d, coalesce(trans.t, 0) AS t)) AS blast_radius,
+  (SELECT {_BOUNDARY} FROM (SELECT coalesce(crossed.n, 0) AS n)) AS boundary, surf.surface AS surface, coalesce(direct.d, 0) AS d, coalesce(trans.t, 0) AS t
+ FROM metrics m CROSS JOIN pct LEFT JOIN (SELECT * FROM members WHERE size > 1) s ON s.name = m.name LEFT JOIN direct ON direct.name = m.name LEFT JOIN trans ON trans.name = m.name
+ LEFT JOIN crossed ON crossed.name = m.name LEFT JOIN xteam ON xteam.name = m.name LEFT JOIN surf ON surf.name = m.name),
+prof AS (SELECT *, greatest(structural * 0.7, instability_ * 0.6, cycle * 1.0, database * 0.8, blast_radius * 0.7, boundary * 0.5, surface * 0.9, 0.0) AS composite FROM dims)"""
 
 
 def _dims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    direct, transitive = R.two_hops(part_edges(spark, sf_dir))
+    """All seven dimensions: brands are the clusters and teams of parts, orders the types that projects declare."""
+    edges = cut(part_edges(spark, sf_dir), "edges")
+    direct, transitive = R.two_hops(edges)
     direct, transitive = cut(direct, "direct"), cut(transitive, "transitive")
-    return R.dimensions(cut(metrics(spark, sf_dir), "metrics"), cycle_members(spark, sf_dir), direct, transitive), direct, transitive
+    part = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("P"), "p_partkey").alias("name")
+    domains, teams = part.select(name, F.col("p_brand").alias("cluster")), part.select(name, F.substring("p_brand", F.length("p_brand") - 1, F.lit(1)).alias("team"))
+    crossed = R.crossed_clusters(edges.select("target", F.col("source").alias("consumer")).distinct(), domains)
+    base, feature = (d.withColumn("project", F.concat(F.lit("P"), F.substring("project", 2, 20))) for d in _snapshots(spark, sf_dir))
+    surface = R.surface(R.type_diff(base, feature))
+    shared = R.shared_by_teams(part_nodes(spark, sf_dir), teams)
+    return R.dimensions(cut(metrics(spark, sf_dir), "metrics"), cycle_members(spark, sf_dir), direct, transitive, crossed, surface, shared), direct, transitive
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({_lin('l_quantity', 5, 10, 0.7, 1.0)}, 6) AS score FROM lineitem")
@@ -92,7 +115,6 @@ def risk_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("name", "d", "t", F.round(S.blast_radius(F.col("d"), F.col("t")), 6).alias("score"))
 
 
-_BOUNDARY = f"CASE WHEN n >= 3 THEN {_lin('n', 3, 6, 0.6, 0.8)} WHEN n >= 2 THEN {_lin('n', 2, 3, 0.3, 0.6)} WHEN n >= 1 THEN {_lin('n', 1, 2, 0.2, 0.3)} ELSE 0.0 END"
 
 
 @query(f"""WITH RECURSIVE {MODULE_EDGES}, {CLUSTERS}, c AS (SELECT e.target AS name, count(DISTINCT b.cluster) AS n FROM (SELECT DISTINCT source, target FROM edges WHERE edge_type <> 'project_reference') e
@@ -109,10 +131,6 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return own.where("o_orderdate < timestamp'1995-06-01'").select(cols).distinct(), own.where("o_orderdate >= timestamp'1995-06-01'").select(cols).distinct()
 
 
-_DIFF = """o AS (SELECT 'C' || o_custkey AS project, o_orderpriority || '-' || o_orderstatus AS type, CASE WHEN o_orderstatus = 'F' THEN 'interface' ELSE 'class' END AS kind, o_orderdate < TIMESTAMP '1995-06-01' AS old FROM orders),
-diff AS (SELECT project, type, any_value(kind) AS kind, CASE WHEN NOT bool_or(old) THEN 'added' WHEN bool_and(old) THEN 'deleted' ELSE 'modified' END AS change FROM o GROUP BY 1, 2)"""
-
-
 @query(f"WITH {_DIFF} SELECT * FROM diff")
 def type_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.type_diff(*_snapshots(spark, sf_dir))
@@ -136,39 +154,35 @@ def risk_change_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.surface(R.type_diff(*_snapshots(spark, sf_dir))).withColumn("change_surface", F.round("change_surface", 6))
 
 
-@query(f"{_DIMS} SELECT name, round(structural, 6)::DOUBLE AS structural, round(instability_, 6)::DOUBLE AS instability, round(cycle, 6)::DOUBLE AS cycle, round(database, 6)::DOUBLE AS database, round(blast_radius, 6)::DOUBLE AS blast_radius, round(composite, 6)::DOUBLE AS composite, {_LEVEL.format('round(composite, 9)')} AS level FROM prof")
+@query(f"{_DIMS} SELECT name, round(structural, 6)::DOUBLE AS structural, round(instability_, 6)::DOUBLE AS instability, round(cycle, 6)::DOUBLE AS cycle, round(database, 6)::DOUBLE AS database, round(blast_radius, 6)::DOUBLE AS blast_radius, round(boundary, 6)::DOUBLE AS domain_boundary, round(surface, 6)::DOUBLE AS change_surface, round(composite, 6)::DOUBLE AS composite, {_LEVEL.format('round(composite, 9)')} AS level FROM prof")
 def risk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = R.profile(_dims(spark, sf_dir)[0])
-    return own.select("name", *(F.round(c, 6).alias(c) for c in ("structural", "instability", "cycle", "database", "blast_radius", "composite")), S.level(F.round("composite", 9)).alias("level"))
+    return own.select("name", *(F.round(c, 6).alias(c) for c in (*S.DIMENSIONS, "composite")), S.level(F.round("composite", 9)).alias("level"))
 
 
-@query(f"{_DIMS} SELECT name, round(greatest(structural * 0.6, instability_ * 0.5, cycle * 0.8, database * 1.0, blast_radius * 0.8), 6)::DOUBLE AS work_request, round(greatest(structural * 0.7, instability_ * 0.6, cycle * 1.0, database * 0.6, blast_radius * 0.7), 6)::DOUBLE AS local FROM dims")
+@query(f"{_DIMS} SELECT name, round(greatest(structural * 0.6, instability_ * 0.5, cycle * 0.8, database * 1.0, blast_radius * 0.8, boundary * 0.9, surface * 0.4), 6)::DOUBLE AS work_request, round(greatest(structural * 0.7, instability_ * 0.6, cycle * 1.0, database * 0.6, blast_radius * 0.7, boundary * 0.3, surface * 0.9), 6)::DOUBLE AS local FROM dims")
 def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = _dims(spark, sf_dir)[0]
     return dims.select("name", *(F.round(S.composite(list(S.DIMENSIONS), c), 6).alias(c) for c in ("work_request", "local")))
 
 
-@query(f"""{_DIMS}, w AS (SELECT name, unnest([structural * 0.7, instability_ * 0.6, cycle * 1.0, database * 0.8, blast_radius * 0.7, 0.0, 0.45]) AS score, unnest(['structural', 'instability', 'cycle', 'database', 'blast_radius', 'domain_boundary', 'change_surface']) AS dimension, unnest([0, 1, 2, 3, 4, 5, 6]) AS i FROM dims),
+@query(f"""{_DIMS}, w AS (SELECT name, unnest([structural * 0.7, instability_ * 0.6, cycle * 1.0, database * 0.8, blast_radius * 0.7, boundary * 0.5, coalesce(surface * 0.9, 0.45)]) AS score, unnest(['structural', 'instability', 'cycle', 'database', 'blast_radius', 'domain_boundary', 'change_surface']) AS dimension, unnest([0, 1, 2, 3, 4, 5, 6]) AS i FROM dims),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, i) - 1 AS place FROM w WHERE score > 0) SELECT name, place, dimension, round(score, 6)::DOUBLE AS score FROM r WHERE place < 5""")
 def risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.factors(_dims(spark, sf_dir)[0])
 
 
-@query(f"""{_DIMS} SELECT round(max(structural), 6)::DOUBLE AS max_structural, round(max(instability_), 6)::DOUBLE AS max_instability, round(max(cycle), 6)::DOUBLE AS max_cycle, round(max(database), 6)::DOUBLE AS max_database, round(max(blast_radius), 6)::DOUBLE AS max_blast_radius, 0.0::DOUBLE AS max_domain_boundary,
+@query(f"""{_DIMS} SELECT round(max(structural), 6)::DOUBLE AS max_structural, round(max(instability_), 6)::DOUBLE AS max_instability, round(max(cycle), 6)::DOUBLE AS max_cycle, round(max(database), 6)::DOUBLE AS max_database, round(max(blast_radius), 6)::DOUBLE AS max_blast_radius, round(max(boundary), 6)::DOUBLE AS max_domain_boundary,
  round(max(composite), 6)::DOUBLE AS composite, count(*) FILTER (round(composite, 9) >= 0.7) AS red, count(*) FILTER (round(composite, 9) >= 0.4 AND round(composite, 9) < 0.7) AS yellow, count(*) FILTER (round(composite, 9) < 0.4) AS green, CAST(sum(d) AS BIGINT) AS direct, CAST(sum(t) AS BIGINT) AS transitive, {_LEVEL.format('max(round(composite, 6))')} AS level FROM prof""")
 def aggregate_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims, direct, transitive = _dims(spark, sf_dir)
     return R.aggregate(R.profile(dims.withColumns({d: F.round(d, 9) for d in S.DIMENSIONS[:5]})).withColumn("level", S.level(F.round("composite", 9))), direct, transitive)
 
 
-@query(f"""{_DIMS}, {_DIFF.replace("'C' || o_custkey", "'P' || o_custkey")}, n AS (SELECT project AS name, count(*) FILTER (change = 'deleted') AS dd, count(*) FILTER (change = 'modified' AND kind = 'interface') AS i, count(*) FILTER (change = 'modified' AND kind <> 'interface') AS mm, count(*) FILTER (change = 'added') AS a FROM diff GROUP BY 1),
-s AS (SELECT name, greatest(CASE WHEN dd > 0 THEN least(1.0, 0.7 + (dd - 1) * 0.1) ELSE 0.0 END, CASE WHEN i > 0 THEN least(0.8, 0.5 + (i - 1) * 0.1) ELSE 0.0 END, CASE WHEN mm > 0 THEN least(0.6, 0.3 + (mm - 1) * 0.05) ELSE 0.0 END, CASE WHEN a > 0 THEN 0.1 ELSE 0.0 END) AS cs FROM n)
-SELECT name, round(greatest(composite, cs * 0.9), 6)::DOUBLE AS composite, {_LEVEL.format('round(greatest(composite, cs * 0.9), 9)')} AS level FROM prof JOIN s USING (name)""")
+@query(f"{_DIMS} SELECT name, round(composite, 6)::DOUBLE AS composite, {_LEVEL.format('round(composite, 9)')} AS level FROM prof WHERE surface IS NOT NULL")
 def pr_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projects with changed types, their change surface injected into the profile."""
-    base, feature = (d.withColumn("project", F.concat(F.lit("P"), F.substring("project", 2, 20))) for d in _snapshots(spark, sf_dir))
-    surface = R.surface(R.type_diff(base, feature))
-    own = _dims(spark, sf_dir)[0].drop("change_surface").join(surface, "name")
+    """Projects with changed types."""
+    own = _dims(spark, sf_dir)[0].where("change_surface is not null")
     done = R.profile(own).withColumn("level", S.level(F.round("composite", 9)))
     return done.select("name", F.round("composite", 6).alias("composite"), "level")
 
