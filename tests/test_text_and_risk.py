@@ -263,3 +263,10 @@ def test_snapshots_are_compared_by_content(spark):
     after = spark.createDataFrame([("a", "1"), ("x", "2"), ("d", "5"), ("f", "6")], "path string, content_hash string")
     got = sorted(map(tuple, Inc.diff_snapshots(before, after).collect()), key=str)
     assert got == sorted([("x", "renamed", "b"), ("c", "deleted", None), ("d", "modified", None), ("e", "deleted", None), ("f", "added", None)], key=str)
+
+
+def test_hubs_are_traced_one_hop(spark):
+    edges = spark.createDataFrame([("c1", "hub"), ("c2", "hub"), ("far1", "c1"), ("far2", "far1"), ("d1", "small"), ("e1", "d1"), ("f1", "e1")], "source string, target string")
+    direct = edges.where("target in ('hub', 'small')").select("target", F.col("source").alias("consumer"))
+    got = {(r.target, r.consumer): r.depth for r in R.trace(direct, edges, limit=1).collect()}
+    assert got == {("hub", "c1"): 0, ("hub", "c2"): 0, ("hub", "far1"): 1, ("small", "d1"): 0, ("small", "e1"): 1, ("small", "f1"): 2}

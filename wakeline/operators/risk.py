@@ -94,13 +94,15 @@ def two_hops(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return into.groupBy("name").agg(F.count("*").alias("n")), far.groupBy("name").agg(F.count("*").alias("n"))
 
 
-def trace(direct: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+def trace(direct: DataFrame, edges: DataFrame, depth: int = 2, limit: int = FAN_OUT_LIMIT) -> DataFrame:
     """(target, consumer, depth, confidence, confidence_label, parent): direct consumers (target, consumer) at depth 0,
-    then consumers of consumers over all edge types. The target isn't marked, so in a cycle it can be its own consumer."""
+    then consumers of consumers over all edge types, as deep as adaptive_depth() allows the target. The target isn't
+    marked, so in a cycle it can be its own consumer."""
     steps = edges.select(F.col("target").alias("at"), F.col("source").alias("next")).where("at <> next").distinct()
     seen = front = cut(direct.select("target", "consumer", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct(), "trace")
+    hubs = cut(adaptive_depth(direct, depth, limit).where(F.col("depth") < depth).select("target", F.col("depth").alias("most")), "hubs")
     for d in range(1, depth + 1):
-        found = front.join(steps, F.col("consumer") == F.col("at")).groupBy("target", F.col("next").alias("consumer")).agg(F.min("consumer").alias("parent"))
+        found = front.join(hubs.where(F.col("most") < d), "target", "left_anti").join(steps, F.col("consumer") == F.col("at")).groupBy("target", F.col("next").alias("consumer")).agg(F.min("consumer").alias("parent"))
         front = cut(found.join(seen.select("target", "consumer"), ["target", "consumer"], "left_anti").select("target", "consumer", F.lit(d).alias("depth"), "parent"), "trace")
         seen = seen.unionByName(front)
     conf = F.get(F.array(*map(F.lit, CONFIDENCE)), F.least(F.col("depth"), F.lit(2)))

@@ -17,6 +17,7 @@ from ..operators import reports as Rp
 from ..operators import risk as R
 from ..operators.components import cut, shared_folder
 from ..operators.metrics import enrich
+from ..schemas import FAN_OUT_LIMIT
 from ..sources import trees
 from ..sources.testdata import files, module_edges, part_edges, part_nodes, table
 from ..streaming import incremental as Inc
@@ -188,7 +189,8 @@ def pr_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRACE = f"""WITH RECURSIVE {MODULE_EDGES}, d AS (SELECT DISTINCT target, source AS consumer FROM edges WHERE edge_type = 'project_reference'), st AS (SELECT DISTINCT target AS at, source AS nxt FROM edges),
-w AS (SELECT target, consumer, 0 AS depth FROM d UNION SELECT w.target, st.nxt, depth + 1 FROM w JOIN st ON st.at = w.consumer WHERE depth < 2),
+nd AS (SELECT target, CASE WHEN count(*) > {FAN_OUT_LIMIT} THEN 1 ELSE 2 END AS most FROM d GROUP BY 1),
+w AS (SELECT target, consumer, 0 AS depth FROM d UNION SELECT w.target, st.nxt, depth + 1 FROM w JOIN nd ON nd.target = w.target JOIN st ON st.at = w.consumer WHERE depth < most),
 tr AS (SELECT target, consumer, min(depth) AS depth FROM w GROUP BY 1, 2)"""
 
 
