@@ -13,9 +13,15 @@ MOST_ROUNDS = 60
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else f"file://{os.path.join(tempfile.gettempdir(), 'wakeline-shared')}"
+    """The folder that spark.checkpoint.dir names. Where it is unset, one of our own in local mode and an error on a
+    cluster, whose executors wouldn't share it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'wakeline-shared')}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
