@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.components import shared_folder
+
 DOC_ID, TEXT = "doc_id", "text"
 #: Bytes of text handled by one vectorised pass; bounds the arrays a task holds.
 CHUNK_BYTES = 1 << 22
@@ -19,18 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where the setting is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "wakeline-shared")
-        os.makedirs(found, exist_ok=True)
-        found = f"file://{found}"
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
