@@ -221,6 +221,41 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "mixing"]
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows and ids, extra columns with the names that stages use inside, and empty tables."""
+    import corpus_pipeline as P
+
+    extra = ("row", "node", "component", "class", "line", "id", "key", "h", "epoch", "block", "place", "first", "hits", "score", "n")
+    long, leak = " ".join(f"w{i}" for i in range(60)), "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, long, "en", "a", 5), (1, long, "en", "a", 5), (None, None, None, None, None), (2, "", "en", "b", 0), (3, "one line\nanother line", "en", "b", 21), (4, "x " + leak + " y", "en", "c", 60), (5, "z " * 50_000, "en", "c", 100_000), (3, "other text of three", "en", None, 19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in extra})
+    spark.createDataFrame([(9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for first in (docs, docs.limit(0)):
+        now = first
+        for name, stage in P.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == docs.columns, name
+            path = str(tmp_path / f"{name}-{first is docs}")
+            now.write.parquet(path)
+            now = spark.read.parquet(path)
+        left = sorted(((r.doc_id, r.text) for r in now.collect()), key=str)
+        # the second row of id 1 has only lines of the first, and the empty text no word
+        assert left == (sorted([(1, long), (None, None), (2, ""), (3, rows[4][1]), (5, rows[6][1]), (3, rows[7][1])], key=str) if first is docs else [])
+        assert P.STAGES[-1][1](spark, now, str(tmp_path)).count() == 0 or first is docs
+
+
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op3_toxicity", "op4_mixing", "op5_license_scan", "op8_token_counts", "op9_minhash", "op10_audio"])
+def test_queries_of_empty_tables_and_clashing_columns(spark, tmp_path, name):
+    extra = {c: F.lit(c) for c in ("row", "id", "key", "section", "media", "feature", "label", "anchor", "score", "class", "h")}
+    docs = spark.createDataFrame([(1, "All rights reserved.\nA line of its own", "s"), (2, None, None), (2, None, None)], "doc_id long, text string, source string").withColumns(extra)
+    for part, rows in (("some", docs), ("none", docs.limit(0))):
+        rows.write.parquet(str(tmp_path / part / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / part / "labels.parquet"))
+    some, none = (queries.queries()[name](spark, str(tmp_path / part)) for part in ("some", "none"))
+    assert none.count() == 0 and some.dtypes == none.dtypes and some.where("doc_id = 1").count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, name):
     import duckdb
