@@ -22,12 +22,13 @@ ENMC = f"WITH RECURSIVE {PART_EDGES}, {PART_NODES}, {METRICS}, {CYCLES}"
 _SEED = "P1"
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.coupling_metrics(part_nodes(spark, sf_dir), part_edges(spark, sf_dir))
+def metrics(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> DataFrame:
+    """Metrics of the part graph; edges, if they are at hand already."""
+    return M.coupling_metrics(part_nodes(spark, sf_dir), part_edges(spark, sf_dir) if edges is None else edges)
 
 
-def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.members_of(cut(Y.cycle_groups(part_edges(spark, sf_dir)), "groups"))
+def cycle_members(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> DataFrame:
+    return Y.members_of(cut(Y.cycle_groups(part_edges(spark, sf_dir) if edges is None else edges), "groups"))
 
 
 def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ prof AS (SELECT *, greatest(structural * 0.7, instability_ * 0.6, cycle * 1.0, d
 
 def _dims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All seven dimensions: brands are the clusters and teams of parts, orders the types that projects declare."""
-    edges = cut(part_edges(spark, sf_dir), "edges")
+    edges = cut(part_edges(spark, sf_dir).select("source", "target", "edge_type", "weight"), "edges")  # made once for all that follows
     direct, transitive = R.two_hops(edges)
     direct, transitive = cut(direct, "direct"), cut(transitive, "transitive")
     part = table(spark, sf_dir, "part")
@@ -75,7 +75,7 @@ def _dims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     base, feature = (d.withColumn("project", F.concat(F.lit("P"), F.substring("project", 2, 20))) for d in _snapshots(spark, sf_dir))
     surface = R.surface(R.type_diff(base, feature))
     shared = R.shared_by_teams(part_nodes(spark, sf_dir), teams)
-    return R.dimensions(cut(metrics(spark, sf_dir), "metrics"), cycle_members(spark, sf_dir), direct, transitive, crossed, surface, shared), direct, transitive
+    return R.dimensions(cut(metrics(spark, sf_dir, edges), "metrics"), cycle_members(spark, sf_dir, edges), direct, transitive, crossed, surface, shared), direct, transitive
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({_lin('l_quantity', 5, 10, 0.7, 1.0)}, 6) AS score FROM lineitem")
