@@ -1,12 +1,13 @@
 """Token counts by offset-mapped attribution: whole documents are encoded once and token spans are given to sections.
 
 A byte-level BPE's tokens tile a text's UTF-8 bytes, so token spans follow from token lengths. Sections are a document's
-lines, each with its line end. Both lists are sorted, so the interval join of a document is a merge. A token that
+lines, each with its line end, or, for count_fields(), named columns that are joined by a separator and encoded as one text. Both lists are sorted, so the interval join of a document is a merge. A token that
 crosses a border goes by `rule`: "start" (section of its first byte), "end" (of its last), "majority" (where most of
 its bytes are, the earlier on a tie) or "split" (shared in proportion to bytes). Counts of all rules add up to the
 document's tokens.
 
-The vocabulary file is a parameter, read where tasks run. Defined results: a null or empty text is one empty section
+The vocabulary file is a parameter, read where tasks run. A very long text is encoded whole, in one task's memory.
+Defined results: an empty table gives no rows; a null or empty text is one empty section
 without tokens; an empty last line is a section without tokens; repeated rows are counted one by one; extra columns
 play no part; strings of special tokens are ordinary text.
 """
@@ -100,6 +101,33 @@ def count(docs: DataFrame, rule: str = "majority", vocabulary: str = VOCABULARY)
     return docs.select(F.col(DOC_ID).cast("long").alias(DOC_ID), TEXT).mapInArrow(run, RESULT)
 
 
+def count_fields(docs: DataFrame, names: list[str], rule: str = "majority", separator: str = "\n", vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row per field of `names`: its characters [start, end) in the joined text, tokens, border-crossing tokens, and
+    the document's tokens. A separator belongs to the field before it; a null field is empty."""
+    if rule not in RULES:
+        raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, *fields in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                parts = [(f or "") + (separator if i < len(fields) - 1 else "") for i, f in enumerate(fields)]
+                sizes = [len(p.encode()) for p in parts]
+                starts = np.r_[0, np.cumsum(sizes)][:-1].astype(np.int64)
+                ends = token_ends("".join(parts), vocabulary)
+                counts, crossing = attribute(ends, starts, sum(sizes), rule)
+                at = 0
+                for i, name in enumerate(names):
+                    rows.append((doc, name, at, at + len(parts[i]), float(counts[i]), int(crossing[i]), len(ends)))
+                    at += len(parts[i])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64())
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "field", *(x.split()[0] for x in RESULT.split(", ")[2:])])
+
+    chosen = docs.select(F.col(DOC_ID).cast("long").alias("__doc"), *(F.col(n).cast("string").alias(f"__{i}") for i, n in enumerate(names)))
+    return chosen.mapInArrow(run, RESULT.replace("section int", "field string"))
+
+
 def per_document(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of each row."""
 
