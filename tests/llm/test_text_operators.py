@@ -431,6 +431,32 @@ def test_temperature_bisection():
     assert mixing.temperature(m, 3, 0.0, 100.0) == 1.0 and mixing.temperature(m, 1, 1.0, 1.0) == 1.0
 
 
+def test_mixing_temperature_matches_a_grid(spark):
+    """alpha by a fine grid over plain definitions, and quotas from it."""
+    rows = [(i, "w " * (1 + i % 9), s) for s, n in (("a", 300), ("b", 60), ("c", 9)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    total = sum(size.values())
+    for entropy, repeats in ((0.8, 100.0), (0.95, 4.0), (0.0, 100.0)):
+        best = None
+        for k in range(4001):
+            alpha = k / 4000
+            z = sum((n / total) ** alpha for n in size.values())
+            p = {s: (n / total) ** alpha / z for s, n in size.items()}
+            if -sum(x * np.log(x) for x in p.values()) >= entropy * np.log(3) - 1e-9:
+                best = alpha
+        while max((size[s] / total) ** best / sum((n / total) ** best for n in size.values()) * total / size[s] for s in size) > repeats:
+            best += 1 / 4000
+        z = sum((n / total) ** best for n in size.values())
+        drawn = {}
+        for r in mixing.mix(docs, entropy=entropy, repeats=repeats).collect():
+            drawn[r.source] = drawn.get(r.source, 0) + r.n_tokens
+        for s, n in size.items():
+            assert abs(drawn[s] - (n / total) ** best / z * total) < 10 + 0.005 * total
+
+
 def test_mixing_refuses_a_limit_that_cannot_be_kept(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(12)], "doc_id long, text string, source string")
     with pytest.raises(ValueError, match="16.67 times"):
@@ -624,3 +650,26 @@ def test_token_attribution(spark, rule):
         assert {r.section: r.n_tokens for r in parts if r.n_tokens} == pytest.approx({k: v for k, v in counts.items() if v})
     with pytest.raises(ValueError):
         tokens.count(docs, "none")
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_tokens_of_fields(spark, rule):
+    rows = [(1, "A title", "the body\n\nof it"), (2, None, "naïve 中文 body"), (3, "", ""), (4, "only", None), (4, "only", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string").withColumn("field", F.lit("x"))
+    enc, _ = tokens.encoding(tokens.VOCABULARY)
+    got = {}
+    for r in tokens.count_fields(docs, ["title", "text"], rule, " ").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for d, title, text in rows[:3]:
+        whole, border = f"{title or ''} {text or ''}", len(f"{title or ''} ".encode())
+        want, at = [0.0, 0.0], 0
+        for i in enc.encode_ordinary(whole):
+            n = len(enc.decode_single_token_bytes(i))
+            first = max(0, min(border, at + n) - at) / n
+            at += n
+            share = {"start": float(first > 0), "end": float(first == 1), "majority": float(first >= 0.5), "split": first}[rule]
+            want = [want[0] + share, want[1] + 1 - share]
+        own = sorted(got[d], key=lambda r: r.start)
+        assert [r.n_tokens for r in own] == pytest.approx(want) and {r.doc_tokens for r in own} == {len(enc.encode_ordinary(whole))}
+        assert "".join(whole[r.start : r.end] for r in own) == whole and [r.field for r in own] == ["title", "text"]
+    assert len(got[4]) == 4 and tokens.count_fields(docs.limit(0), ["title"]).count() == 0
