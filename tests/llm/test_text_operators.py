@@ -343,6 +343,41 @@ def test_numbered_lines_make_candidates_in_proportion(spark, monkeypatch, small,
     assert totals[1] < a_line * 2000 and (small > 500 or totals[1] < 6 * totals[0] + 2000)
 
 
+def test_letters_before_and_after_a_place_lose_no_near_lines(spark, monkeypatch):
+    """Every bucket counts as crowded; the pairs stay all that are near, each of them once."""
+    monkeypatch.setattr(linededup, "CROWD", 1)
+    rnd = random.Random(31)
+    bases = ["".join(rnd.choice("etaoin shré") for _ in range(n)).strip() + "." for n in (18, 41, 66, 83, 113, 127, 129, 250) for _ in range(2)]
+    kinds = sorted({x for b in bases for i in range(14) for x in [edited(rnd, b, i // 2)] if len(x) >= linededup.LEAST and x == x.strip()})
+    want = {frozenset((x, y)) for i, x in enumerate(kinds) for y in kinds[:i] if abs(len(x) - len(y)) <= 5 and distance(x, y) <= near_limit(min(len(x), len(y)))}
+    got = [frozenset((kinds[r.a], kinds[r.b])) for r in linededup.near_pairs(spark.createDataFrame(list(enumerate(kinds)), "id long, line string"), None, linededup.LEAST).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_lines_of_the_same_letters_in_other_places_make_few_candidates(spark, monkeypatch):
+    """Copies of a line in each of which two words are exchanged: not near, and told apart without being compared in full."""
+    words = "the committee will publish its longest report on the state of every harbour before winter ends and after the session of the council has closed its books for good".split()
+    made, held = [], linededup._candidates
+
+    def counted(*args):
+        made.append(held(*args).count())
+        return held(*args)
+
+    monkeypatch.setattr(linededup, "_candidates", counted)
+    lines = []
+    for i in range(12):
+        for j in range(16, len(words) - 1):
+            if len(words[i]) > 3 < len(words[j]):
+                w = list(words)
+                w[i], w[j] = w[j], w[i]
+                lines.append(" ".join(w))
+    rows = sorted(set(lines))
+    want = {frozenset((x, y)) for i, x in enumerate(rows) for y in rows[:i] if distance(x, y) <= near_limit(min(len(x), len(y)))}
+    got = [frozenset((rows[r.a], rows[r.b])) for r in linededup.near_pairs(spark.createDataFrame(list(enumerate(rows)), "id long, line string"), None, linededup.LEAST).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert len(rows) > 30 and sum(made) < len(rows) * (len(rows) - 1) // 6
+
+
 def test_registered_line_dedup_drops_equal_short_lines(spark, tmp_path):
     docs_of(spark, [(1, "Yes\n\nNo\n\nyet"), (2, " yes\nno!\nx"), (3, "X\n\nYES")]).write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.queries()["op2_line_dedup"](spark, str(tmp_path)).collect()

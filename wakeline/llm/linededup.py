@@ -10,7 +10,8 @@ segments: the first half of them counted from the line's start, the others from
 i of one is whole in the other, with at most i edits before it and edits - i after it, so it is moved by at most that
 many characters, seen from the end it is counted from. Of each segment, windows at a few offsets are hashed, so that any such shift is the
 difference of two offsets: lines meet where hashes are equal. A line just longer than its class's least length
-is hashed for the class below too. Counts of frequent letters, which an edit changes by two at most, thin out candidates.
+is hashed for the class below too. Counts of frequent letters, which an edit changes by two at most, thin out candidates;
+in buckets of more than CROWD lines those before and after some places of the line do so too.
 Candidates are verified by banded bit-parallel edit distance, after the built-in bounded one.
 
 A bucket of up to SMALL lines gives all its pairs. In a larger one each line is paired with one centre; the bucket's
@@ -48,6 +49,8 @@ CODES = [(1 << i) - 1 if i <= 8 else 255 << (i - 8) & 255 for i in range(16)]
 KEPT = 8
 #: Buckets of up to so many lines give all their pairs.
 SMALL = 2048
+#: Lines of buckets of more than so many have their letters counted before and after CUTS places too.
+CROWD, CUTS = 16, 7
 #: Bits of the broadcast filter that finds candidates' texts; a bound on its rows, 64 bits each.
 BITS = 1 << 24
 _LAST_DOC = (1 << 63) - 1
@@ -65,8 +68,9 @@ def normalised(line: Column) -> Column:
 def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, at, line): normalised lines of at least `least` characters."""
     doc = F.coalesce(F.col(DOC_ID).cast("long"), F.lit(_LAST_DOC))
-    out = docs.select(doc.alias("doc"), F.posexplode(F.split(F.coalesce(TEXT, F.lit("")), "\n")).alias("at", "line"))
-    return out.select("doc", "at", normalised(F.col("line")).alias("line")).where(F.length("line") >= least)
+    # normalised within the array: after it, the filter on the length would work every line out a second time
+    own = F.transform(F.split(F.coalesce(TEXT, F.lit("")), "\n"), normalised)
+    return docs.select(doc.alias("doc"), F.posexplode_outer(own).alias("at", "line")).where(F.length("line") >= least)
 
 
 def length_class(length: Column) -> Column:
@@ -84,11 +88,28 @@ def _letters(line: Column, letters: str) -> Column:
     """Codes of the counts of eight letters; an edit changes two bits at most."""
     out, codes = F.lit(0).cast("long"), F.array(*map(F.lit, CODES))
     for i, c in enumerate(letters):
-        n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))  # c is one byte
         out = out.bitwiseOR(F.shiftleft(F.get(codes, n.bitwiseAND(F.lit(15))).cast("long"), 8 * i))
     return out
 
 
+def _cuts(line: Column, floor: Column) -> Column:
+    """Codes of the letters before and after each of CUTS places of a line whose class begins at `floor`, a struct each.
+
+    Edits before a place change at most twice as many letters of the first characters, and edits after it of the last
+    ones: what a part gains or loses by a shift is one letter for an edit that changed only one. So the two sum up to
+    twice the edits, without what cancels out over the whole line.
+    """
+
+    def codes(k: Column) -> Column:
+        h = F.floor(floor * k / (CUTS + 1)).cast("int")
+        ends = F.substring(line, F.lit(1), h), F.substring(line, F.length(line) - (floor - h) + 1, floor - h)
+        # transforms of one-element arrays name the parts, so that they are not cut out anew for each letter
+        return F.get(F.transform(F.array(F.struct(*(e.alias(n) for e, n in zip(ends, "pq")))), lambda s: F.struct(*(_letters(s[n], x).alias(f"{n}{i}") for n in "pq" for i, x in enumerate(LETTERS)))), F.lit(0))
+
+    return F.transform(F.array(*map(F.lit, sorted(range(1, CUTS + 1), key=lambda k: abs(2 * k - CUTS - 1)))), codes)
+
+
 def banded_distance(x: Column, y: Column, edits: int) -> Column:
     """Edit distance of two character arrays whose sizes differ by `edits` at most, or more than `edits` if it is larger.
 
@@ -214,21 +235,31 @@ def _texts(own: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _candidates(shared: DataFrame, texts: DataFrame, edits: int | None) -> DataFrame:
     """(a, b) of rows (key, id, centre, size, component, seg, head): pairs of different components, and of different heads
-    but for those of segment 0, that letters and lengths allow."""
+    but for those of segment 0, that letters and lengths allow. A pair is made in one of the buckets of segment 0 that it
+    shares, that of the least key."""
     letters = [f"about{i}" for i in range(len(LETTERS))]
-    about = texts.select("id", "n", *letters)
-    shared = shared.select("key", "id", "centre", "size", "component", "seg", "head").distinct().join(about, "id")
-    few = shared.where(F.col("size") <= SMALL)
-    x, y = (few.select("key", *(F.col(c).alias(c + i) for c in ("id", "component", "n", "seg", "head", *letters))) for i in "xy")
-    limit = allowed(length_class(F.least("nx", "ny")), edits)
+    floor = length_class(F.col("n")).cast("int")
+    about = texts.select("id", "n", floor.alias("floor"), allowed(floor, edits).alias("most"), *letters)
+    cuts = texts.join(shared.where((F.col("size") > CROWD) & (F.col("size") <= SMALL)).select("id").distinct(), "id", "left_semi").select("id", _cuts(F.col("line"), floor).alias("cuts"))
+    places = shared.groupBy("id").agg(F.collect_set(F.struct("key", "centre", "size", "component", "seg", "head")).alias("places")).join(about, "id")
+    few = places.select("*", F.filter("places", lambda p: p["size"] <= SMALL).alias("few")).where(F.size("few") > 0).join(cuts, "id", "left")
+    few = few.select("*", F.transform(F.filter("few", lambda p: p["seg"] == 0), lambda p: p["key"]).alias("keys"), F.inline("few"))
+    few = few.withColumn("lower", F.filter("keys", lambda k: k < F.col("key")))
+    x, y = (few.select("key", *(F.col(c).alias(c + i) for c in ("id", "component", "n", "most", "seg", "head", "lower", "floor", "cuts", *letters))) for i in "xy")
+    limit = F.least("mostx", "mosty")
     close, apart = F.abs(F.col("nx") - F.col("ny")) <= limit, F.lit(0)
     for c in letters:
         apart = apart + F.bit_count(F.col(c + "x").bitwiseXOR(F.col(c + "y")))
         close = close & (apart <= 2 * limit)
     ends = F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")
-    pairs = x.join(y, "key").where("idx < idy and componentx <> componenty and (segx = 0 or headx <> heady)").where(close).select(*ends)
-    many = shared.where((F.col("size") > SMALL) & (F.col("id") != F.col("centre"))).select(*(F.col(c).alias(c + "x") for c in ("id", "n", *letters)), F.col("centre").alias("idy")).distinct()
-    star = many.join(about.select(*(F.col(c).alias(c + "y") for c in ("id", "n", *letters))), "idy").where(close).select(*ends)
+    codes = [f"{n}{i}" for n in "pq" for i in range(len(LETTERS))]
+    fits = F.forall(F.arrays_zip("cutsx", "cutsy"), lambda z: sum((F.bit_count(z["cutsx"][c].bitwiseXOR(z["cutsy"][c])) for c in codes), F.lit(0)) <= 2 * limit)
+    fits = F.col("cutsx").isNull() | F.col("cutsy").isNull() | (F.col("floorx") != F.col("floory")) | fits
+    # segy is segx: named, so that both sides have the same columns and are dealt once
+    pairs = x.join(y, "key").where("idx < idy and componentx <> componenty and (segx = 0 and segy = 0 or headx <> heady)").where(close & ~F.arrays_overlap("lowerx", "lowery") & fits).select(*ends)
+    many = places.select("*", F.inline(F.filter("places", lambda p: (p["size"] > SMALL) & (p["centre"] != F.col("id")))))
+    many = many.select(*(F.col(c).alias(c + "x") for c in ("id", "n", "most", *letters)), F.col("centre").alias("idy")).distinct()
+    star = many.join(about.select(*(F.col(c).alias(c + "y") for c in ("id", "n", "most", *letters))), "idy").where(close).select(*ends)
     return pairs.union(star).distinct()
 
 
@@ -285,8 +316,9 @@ def near_pairs(own: DataFrame, edits: int | None, least: int) -> DataFrame:
         return rows.where("lo_component < hi_component and (seg = 0 or lo_head < hi_head)").drop("lo_component", "hi_component", "lo_head", "hi_head")
 
     shared = keyed(_first_rows(own, edits, least), most).select("key", "id")
-    # most keys are of one line only: what is left after one shuffle is small
-    shared = shared.select("*", F.min("id").over(same).alias("centre"), F.max("id").over(same).alias("hi"), F.count("*").over(same).alias("size")).where("centre < hi")
+    # most keys are of one line only: what is left after one shuffle is small, and only for that more than a count is worked out
+    shared = shared.select("*", F.count("*").over(same).alias("size")).where("size > 1")
+    shared = shared.select("*", F.min("id").over(same).alias("centre"), F.max("id").over(same).alias("hi")).where("centre < hi")
     none = F.lit(0).alias("seg"), F.lit(0).cast("long").alias("head")
     shared = written(shared.select("key", "id", "centre", "size", F.col("id").alias("component"), *none).distinct(), "line-keys")
     texts = _texts(own, shared.select("id").distinct())
