@@ -42,3 +42,12 @@ def test_components_by_contraction(spark, monkeypatch, in_task):
             least[a] = least[b] = min(least[a], least[b])
     got = Cp.connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()
     assert {r.node: r.component for r in got} == least and len(got) == len(least)
+
+
+def test_prediction_records_are_whole(spark):
+    dims = spark.createDataFrame([("a", 0.5, 0.1, 0.0, 0.123456, 1.0, 0.0, None)], "name string, " + ", ".join(f"{d} double" for d in S.DIMENSIONS))
+    n = lambda k: spark.createDataFrame([("a", k)], "name string, n long")
+    row = Rp.prediction_rows(R.profile(dims), n(3), n(4), n(5)).first()
+    assert (row.scores["database"], row.scores["change_surface"], row.available["database"], row.available["change_surface"]) == (0.1235, None, True, False)
+    assert (row.changed_type_count, row.direct_consumers, row.transitive_consumers, row.outcome) == (5, 3, 4, None)
+    assert row.risk_factors == ["blast_radius", "change_surface", "structural"]
