@@ -44,6 +44,22 @@ def test_components_by_contraction(spark, monkeypatch, in_task):
     assert {r.node: r.component for r in got} == least and len(got) == len(least)
 
 
+def test_evidence_is_not_gathered(spark):
+    refs = spark.createDataFrame([(f"r{i}", "a", "o") for i in range(30)] * 2 + [("r0", "b", "o")], "report string, project string, object string")
+    uses = spark.createDataFrame([("o", "b"), ("o", "c")], "object string, project string")
+    edges = B.report_edges(refs, uses)
+    assert "collect_set" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.source, r.target): (r.weight, r.evidence, r.evidence_total) for r in edges.collect()}
+    first = sorted(f"r{i}:o" for i in range(30))[:10]
+    assert got == {("a", "b"): (30.0, first, 30), ("a", "c"): (30.0, first, 30), ("b", "c"): (1.0, ["r0:o"], 1)}
+
+
+def test_equal_proofs_of_different_objects_count_once(spark):
+    refs = spark.createDataFrame([("r:x", "a", "y"), ("r", "a", "x:y"), (None, "a", "r:x:y")], "report string, project string, object string")
+    uses = spark.createDataFrame([("y", "b"), ("x:y", "b"), ("r:x:y", "b")], "object string, project string")
+    assert [(r.weight, r.evidence) for r in B.report_edges(refs, uses).collect()] == [(1.0, ["r:x:y"])]
+
+
 def test_prediction_records_are_whole(spark):
     dims = spark.createDataFrame([("a", 0.5, 0.1, 0.0, 0.123456, 1.0, 0.0, None)], "name string, " + ", ".join(f"{d} double" for d in S.DIMENSIONS))
     n = lambda k: spark.createDataFrame([("a", k)], "name string, n long")
