@@ -60,6 +60,15 @@ def test_equal_proofs_of_different_objects_count_once(spark):
     assert [(r.weight, r.evidence) for r in B.report_edges(refs, uses).collect()] == [(1.0, ["r:x:y"])]
 
 
+def test_shared_object_edges_go_both_ways_with_the_smallest_proofs(spark):
+    uses = spark.createDataFrame([(p, f"o{i:02}") for p in "ab" for i in range(12)] + [("c", "o11"), ("c", "o11")], "project string, object string")
+    edges = B.shared_object_edges(uses)
+    assert "collect_set" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.source, r.target): (r.evidence_total, r.evidence) for r in edges.collect()}
+    ten = [f"o{i:02}" for i in range(10)]
+    assert got == {("a", "b"): (12, ten), ("b", "a"): (12, ten)} | {p: (1, ["o11"]) for p in [("a", "c"), ("c", "a"), ("b", "c"), ("c", "b")]}
+
+
 def test_prediction_records_are_whole(spark):
     dims = spark.createDataFrame([("a", 0.5, 0.1, 0.0, 0.123456, 1.0, 0.0, None)], "name string, " + ", ".join(f"{d} double" for d in S.DIMENSIONS))
     n = lambda k: spark.createDataFrame([("a", k)], "name string, n long")
