@@ -69,6 +69,22 @@ def test_shared_object_edges_go_both_ways_with_the_smallest_proofs(spark):
     assert got == {("a", "b"): (12, ten), ("b", "a"): (12, ten)} | {p: (1, ["o11"]) for p in [("a", "c"), ("c", "a"), ("b", "c"), ("c", "b")]}
 
 
+def test_solutions_beyond_one_word(spark):
+    rnd = random.Random(9)
+    names = [f"n{i}" for i in range(40)]
+    solutions = {n: sorted({f"s{rnd.randrange(150)}" for _ in range(6)}) for n in names[:35]}
+    pairs = sorted({(rnd.choice(names), rnd.choice(names)) for _ in range(120)}) + [("n0", "gone")]
+    want = {}
+    for s in {s for x in solutions.values() for s in x}:
+        ends = [(set(solutions.get(a, ())), set(solutions.get(b, ()))) for a, b in pairs if b != "gone"]
+        inner, outer = sum(s in a and s in b for a, b in ends), sum((s in a) != (s in b) for a, b in ends)
+        into, out = {o for a, b in ends if s in b for o in a - b}, {o for a, b in ends if s in a for o in b - a}
+        want[s] = (sum(s in x for x in solutions.values()), inner, outer, outer / (inner + outer) if inner + outer else 0.0, sorted(into), sorted(out))
+    metrics = M.solution_metrics(make_nodes(spark, names, solutions=solutions), make_edges(spark, pairs))
+    assert "sides-" in "".join(metrics.inputFiles())  # what edges lead to is gathered by node, not by edge
+    assert {r.solution: tuple(r)[1:] for r in metrics.collect()} == want
+
+
 def test_prediction_records_are_whole(spark):
     dims = spark.createDataFrame([("a", 0.5, 0.1, 0.0, 0.123456, 1.0, 0.0, None)], "name string, " + ", ".join(f"{d} double" for d in S.DIMENSIONS))
     n = lambda k: spark.createDataFrame([("a", k)], "name string, n long")
