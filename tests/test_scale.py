@@ -44,6 +44,18 @@ def test_components_by_contraction(spark, monkeypatch, in_task):
     assert {r.node: r.component for r in got} == least and len(got) == len(least)
 
 
+@pytest.mark.parametrize("in_row", [100_000, 30, 0])
+@pytest.mark.parametrize("backward", [True, False])
+def test_reach_of_all_is_that_of_each(spark, monkeypatch, in_row, backward):
+    monkeypatch.setattr(G, "MOST_IN_ROW", in_row)
+    rnd = random.Random(7)
+    pairs = [(f"n{rnd.randrange(25):02}", f"n{rnd.randrange(25):02}") for _ in range(40)] + [(f"m{i}", "hub") for i in range(12)] + [("hub", "n00"), ("n00", "hub")]
+    edges = make_edges(spark, pairs)
+    seeds = edges.select(F.col("target" if backward else "source").alias("seed")).distinct()
+    want = sorted(tuple(r) for r in G.reach(edges, seeds, 3, backward).drop("parent").collect())
+    assert sorted(tuple(r) for r in G.reach_all(edges, 3, backward).collect()) == want
+
+
 def test_evidence_is_not_gathered(spark):
     refs = spark.createDataFrame([(f"r{i}", "a", "o") for i in range(30)] * 2 + [("r0", "b", "o")], "report string, project string, object string")
     uses = spark.createDataFrame([("o", "b"), ("o", "c")], "object string, project string")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..schemas import EVIDENCE_CAP
 from .components import cut
 
+#: Lists of one row hold up to so many names.
+MOST_IN_ROW = 100_000
+
 
 def duplicate_names(nodes: DataFrame) -> DataFrame:
     """(name, n) of names that stand more than once; empty for a sound graph."""
@@ -80,7 +83,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, backward: bool = True,
     smallest discoverer. Each hop is one join; lineage is cut after it, so plans don't grow with depth.
     """
     near, far = ("target", "source") if backward else ("source", "target")
-    steps = edges.select(F.col(near).alias("at"), F.col(far).alias("next")).distinct()
+    steps = cut(edges.select(F.col(near).alias("at"), F.col(far).alias("next")).distinct(), "steps")
     most = F.lit(depth) if limit is None else limit
     visited = seeds.select("seed", F.col("seed").alias("name"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), most.alias("most")).distinct()
     front = visited
@@ -91,6 +94,50 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, backward: bool = True,
     return visited.where("depth > 0").drop("most")
 
 
+def _list_sizes(steps: DataFrame, depth: int) -> DataFrame:
+    """(at, k1 .. k<depth>): at most so many nodes are within each number of steps of a node."""
+    sizes = steps.groupBy("at").agg(F.count("*").alias("k1"))
+    for d in range(2, depth + 1):
+        sizes = cut(sizes, "sizes")
+        more = steps.join(sizes.select(F.col("at").alias("next"), f"k{d - 1}"), "next", "left").groupBy("at").agg(F.sum(F.coalesce(f"k{d - 1}", F.lit(0)) + 1).alias(f"k{d}"))
+        sizes = sizes.join(more, "at")
+    return cut(sizes, "sizes")
+
+
+def reach_all(edges: DataFrame, depth: int, backward: bool = True) -> DataFrame:
+    """(seed, name, depth) of reach() from every node that has a step to take.
+
+    A node's lists of names by distance are made of its neighbours' lists, so each hop moves an edge and the lists of its
+    end, not a row for each pair. Nodes whose lists could hold more than MOST_IN_ROW names are left to reach().
+    """
+    near, far = ("target", "source") if backward else ("source", "target")
+    steps = cut(edges.select(F.col(near).alias("at"), F.col(far).alias("next")).where("at <> next").distinct(), "steps")
+    bounded = [steps] * depth
+    large = None
+    if (steps.groupBy("at").count().agg(F.max("count")).first()[0] or 0) + 1 > MOST_IN_ROW ** (1 / depth):
+        sizes = _list_sizes(steps, depth)
+        bounded = [steps.join(sizes.where(F.col(f"k{d}") <= MOST_IN_ROW), "at", "left_semi") for d in range(1, depth + 1)]
+        large = cut(sizes.where(F.col(f"k{depth}") > MOST_IN_ROW).select(F.col("at").alias("seed")), "large")
+    lists = bounded[0].groupBy("at").agg(F.collect_list("next").alias("l1"))
+    for d in range(2, depth + 1):
+        held = lists.select(F.col("at").alias("next"), *(f"l{i}" for i in range(1, d)))
+        found = bounded[d - 1].join(held, "next", "left").groupBy("at").agg(F.collect_list("next").alias("l1"), *(F.array_distinct(F.flatten(F.collect_list(f"l{i}"))).alias(f"l{i + 1}") for i in range(1, d)))
+        seen = F.array_append("l1", F.col("at"))
+        for i in range(2, d + 1):
+            found = found.withColumn(f"l{i}", F.array_except(f"l{i}", seen))
+            seen = F.concat(seen, f"l{i}")
+        lists = found
+
+    def at_depth(d: int) -> Column:
+        return F.transform(f"l{d}", lambda x: F.struct(x.alias("name"), F.lit(d).alias("depth")))
+
+    rows = F.concat(*map(at_depth, range(1, depth + 1)))
+    out = lists.select(F.col("at").alias("seed"), F.inline(rows))
+    if large is None or not large.head(1):
+        return out
+    return out.unionByName(reach(edges, large, depth, backward).drop("parent"))
+
+
 def transitive_consumers(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     return reach(edges, seeds, depth, backward=True)
 
