@@ -97,6 +97,17 @@ def test_solutions_beyond_one_word(spark):
     assert {r.solution: tuple(r)[1:] for r in metrics.collect()} == want
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_funnel_with_few_and_many_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(K, "MOST_BROADCAST", most)
+    edges = make_edges(spark, [("a", "t"), ("b", "t"), ("lone", "t"), ("a.Tests", "t")])
+    files = spark.createDataFrame([(f"{p}/{i}", p, text) for p in ("a", "b", "a.Tests") for i, text in enumerate(["using Ns; new Cls()", "using Ns;", None])], "path string, project string, text string")
+    targets = spark.createDataFrame([("t", "Ns", "Cls", None)], "target string, namespace string, class_name string, method_name string")
+    got = sorted((r.consumer, r.path or "", r.passed) for r in K.funnel(edges, files, targets, ("*.Tests",)).collect())
+    want = [(p, f"{p}/{i}", n) for p in ("a", "b") for i, n in enumerate((5, 3, 2))] + [("a.Tests", f"a.Tests/{i}", 1) for i in range(3)] + [("lone", "", 2)]
+    assert got == sorted(want)
+
+
 def test_prediction_records_are_whole(spark):
     dims = spark.createDataFrame([("a", 0.5, 0.1, 0.0, 0.123456, 1.0, 0.0, None)], "name string, " + ", ".join(f"{d} double" for d in S.DIMENSIONS))
     n = lambda k: spark.createDataFrame([("a", k)], "name string, n long")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import REFERENCE
+from .components import cut
 
+#: Up to so many pairs of targets and consumers are sent to the files of all consumers.
+MOST_BROADCAST, SHARES = 100_000, 64
 STAGES = ("project_reference", "not_test", "namespace", "class", "method")
 
 
@@ -18,12 +21,21 @@ def funnel(edges: DataFrame, files: DataFrame, targets: DataFrame, globs: tuple[
     skips the namespace stage. Each stage only sees files that passed the one before. All targets go at once.
     """
     direct = edges.where((F.col("edge_type") == REFERENCE) & (F.col("source") != F.col("target"))).select("target", F.col("source").alias("consumer")).distinct().join(targets, "target")
-    rows = direct.join(files.select(F.col("project").alias("consumer"), "path", "text"), "consumer", "left")
-    body = F.coalesce("text", F.lit(""))
+    direct = cut(direct, "direct")
+    # words are made once a file, before it meets targets; texts stay where they are read if there are few pairs, and a
+    # project's files are dealt to SHARES keys otherwise
+    words = F.concat(F.lit(" "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9_.]+", " "), F.lit(" "))
+    own = files.select(F.col("project").alias("consumer"), "path", words.alias("__words"), F.pmod(F.xxhash64("path"), F.lit(SHARES)).alias("__share"))
+    if direct.count() <= MOST_BROADCAST:
+        met = own.drop("__share").join(F.broadcast(direct), "consumer")
+    else:
+        met = own.join(direct.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))), ["consumer", "__share"]).drop("__share")
+    lone = direct.join(files.select(F.col("project").alias("consumer")).distinct(), "consumer", "left_anti")
+    rows = met.unionByName(lone.withColumns({"path": F.lit(None).cast(met.schema["path"].dataType), "__words": F.lit("  ")}))
 
     def named(name: str) -> Column:
         """Whole-word test without building a pattern for each row."""
-        return F.col(name).isNull() | F.contains(F.concat(F.lit(" "), F.regexp_replace(body, r"[^A-Za-z0-9_.]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.col(name), F.lit(" ")))
+        return F.col(name).isNull() | F.contains(F.col("__words"), F.concat(F.lit(" "), F.col(name), F.lit(" ")))
 
     tests = T.matches_glob(F.col("consumer"), globs)
     ok = [F.lit(True), ~tests, named("namespace"), named("class_name"), named("method_name")]
