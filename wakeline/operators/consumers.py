@@ -22,10 +22,10 @@ def funnel(edges: DataFrame, files: DataFrame, targets: DataFrame, globs: tuple[
     """
     direct = edges.where((F.col("edge_type") == REFERENCE) & (F.col("source") != F.col("target"))).select("target", F.col("source").alias("consumer")).distinct().join(targets, "target")
     direct = cut(direct, "direct")
-    # words are made once a file, before it meets targets; texts stay where they are read if there are few pairs, and a
-    # project's files are dealt to SHARES keys otherwise
+    # files are dealt to tasks by path, as neither the projects nor the parts of a table are of even size; few pairs are
+    # sent to all files, and of many each goes to SHARES shares of its project's files
     words = F.concat(F.lit(" "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9_.]+", " "), F.lit(" "))
-    own = files.select(F.col("project").alias("consumer"), "path", words.alias("__words"), F.pmod(F.xxhash64("path"), F.lit(SHARES)).alias("__share"))
+    own = files.repartition("path").select(F.col("project").alias("consumer"), "path", words.alias("__words"), F.pmod(F.xxhash64("path"), F.lit(SHARES)).alias("__share"))
     if direct.count() <= MOST_BROADCAST:
         met = own.drop("__share").join(F.broadcast(direct), "consumer")
     else:
