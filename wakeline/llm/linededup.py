@@ -325,7 +325,7 @@ def near_pairs(own: DataFrame, edits: int | None, least: int) -> DataFrame:
     links = written(_verified(_candidates(shared, texts, edits), texts, edits), "line-links")
     crowd, known = shared.where(F.col("size") > SMALL).select("key", "id"), None
     while crowd.head(1):
-        labels = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
+        labels = connected_components(links, "a", "b", in_task=0).select(F.col("node").alias("id"), F.col("component").alias("label"))
         lines_of = texts.select("id", "line")
         if known is None:  # the first keys again, with their places in the lines
             known = keyed(_first_rows(lines_of.join(crowd.select("id").distinct(), "id", "left_semi"), edits, least), most).join(crowd, ["key", "id"], "left_semi")
@@ -354,7 +354,7 @@ def dropped(docs: DataFrame, edits: int | None = None, least: int = LEAST, short
     own = found.groupBy("line").agg(F.min(_place().cast("decimal(38,0)")).alias("first"), F.count("*").alias("n"))
     own = written(own.select(F.xxhash64("line").alias("id"), "first", "n", "line"), "lines", "zstd")
     near = near_pairs(own.select("id", "line"), edits, least)
-    labels = connected_components(near, "a", "b").select(F.col("node").alias("id"), "component")
+    labels = connected_components(near, "a", "b", in_task=0).select(F.col("node").alias("id"), "component")
     shared = own.select("id", "n", "first").join(labels, "id", "left").where("n > 1 or component is not null").withColumn("class", F.coalesce("component", "id"))
     firsts = shared.groupBy("class").agg(F.min("first").alias("first"))
     shared = written(shared.select("id", "class").join(firsts, "class"), "classes")
